@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, media, pii
+from . import bpe, media, mixing, nra, pii, toxicity
 
 QUERIES = {
+    "op3_nra_topk": nra.query,
     "op5_bpe": bpe.query,
+    "op7_mix": mixing.query,
     "op8_pii": pii.query,
     "op9_media": media.query,
+    "op10_toxicity": toxicity.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_nra_topk": nra.ORACLE}
