@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, nra, pii, toxicity
+from . import bpe, media, mixing, neardup, nra, pii, toxicity
 
 QUERIES = {
+    "op2_probminhash": neardup.query,
     "op3_nra_topk": nra.query,
     "op5_bpe": bpe.query,
     "op7_mix": mixing.query,
