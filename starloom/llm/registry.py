@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, neardup, nra, pii, toxicity
+from . import bpe, media, mixing, neardup, nra, pii, spans, toxicity
 
 QUERIES = {
     "op2_probminhash": neardup.query,
     "op3_nra_topk": nra.query,
+    "op4_sentence_spans": spans.query,
     "op5_bpe": bpe.query,
     "op7_mix": mixing.query,
     "op8_pii": pii.query,
