@@ -15,7 +15,7 @@ connected components of verified links are the classes.
 
 Hot groups: bucket sizes and hubs are aggregates combined before their shuffle; joins by
 bucket, hub or text are sort-merge joins of two exchanged sides, which Spark splits where
-skewed. Nothing about single documents comes to the driver.
+skewed; they are asked for by name, so that the plan is the same at every size. Nothing about single documents comes to the driver.
 
 Defined results: a null text counts as empty; texts without words are alike only if equal;
 a null doc_id is a row like others and never a class id unless its whole class has none;
@@ -142,7 +142,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 def _joined(pairs: DataFrame, values: DataFrame, names: list[str]) -> DataFrame:
     """Pairs with the values of both ends, as name_a and name_b."""
     for end in "ab":
-        pairs = pairs.join(values.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in names)), end)
+        pairs = pairs.join(values.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in names)).hint("merge"), end)
     return pairs
 
 
@@ -170,14 +170,14 @@ def candidates(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of nodes (node, bands) that share a bucket, as the module describes."""
     in_bands = nodes.select("node", F.explode("bands").alias("key"))
     shared = store.written(in_bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    members = store.written(in_bands.join(shared, "key"), "members")
+    members = store.written(in_bands.join(shared.hint("merge"), "key"), "members")
     few = members.filter(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("v"))  # at most SMALL nodes
     few = few.select(F.explode(F.expr("flatten(transform(v, (x, i) -> transform(slice(v, i + 2, size(v)), y -> named_struct('a', x, 'b', y))))")).alias("p")).select("p.a", "p.b")
     central = store.written(members.groupBy("node").agg(F.sum("n").alias("reach"), F.max("n").alias("most")).filter(F.col("most") > SMALL).select("node", "reach"), "reach")
-    large = store.written(members.filter(F.col("n") > SMALL).join(central, "node").select("key", "node", "reach"), "large")
+    large = store.written(members.filter(F.col("n") > SMALL).join(central.hint("merge"), "node").select("key", "node", "reach"), "large")
     kind = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(HUBS))
     hubs = store.written(large.groupBy("key").agg(*(F.max(F.when(kind == j, F.struct("reach", "node"))).alias(f"h{j}") for j in range(HUBS))), "hubs")
-    met = large.join(hubs, "key").select("node", F.explode(F.array(*(F.col(f"h{j}.node") for j in range(HUBS)))).alias("hub")).filter("hub IS NOT NULL AND hub <> node")
+    met = large.join(hubs.hint("merge"), "key").select("node", F.explode(F.array(*(F.col(f"h{j}.node") for j in range(HUBS)))).alias("hub")).filter("hub IS NOT NULL AND hub <> node")
     pairs = few.unionByName(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")))
     return store.written(pairs.distinct(), "pairs")
 
@@ -189,14 +189,14 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     close = store.written(_joined(candidates(nodes), nodes, ["sig"]).mapInArrow(_alike, "a binary, b binary"), "close")
     ends = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
     wanted = store.written(ends.join(nodes.select("node", "doc_id"), "node"), "wanted").select(F.col("node").alias("w_node"), F.col("doc_id").alias("w_id"))
-    texts = docs.select("doc_id", "text").withColumn("node", _node()).join(wanted, (F.col("node") == F.col("w_node")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
+    texts = docs.select("doc_id", "text").withColumn("node", _node()).join(wanted.hint("merge"), (F.col("node") == F.col("w_node")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
     sets = store.written(_sets(texts).dropDuplicates(["node"]), "sets")
     links = _joined(close, sets, ["x", "c"]).mapInArrow(_verified(least), "a binary, b binary")
     found = graph.components(links)
-    own = rows.select("doc_id", "node").join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+    own = rows.select("doc_id", "node").join(found.hint("merge"), "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
     own = store.written(own, "own")
     named = store.written(own.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
-    return own.join(named, "component").select("doc_id", "node", "class_id", "class_size")
+    return own.join(named.hint("merge"), "component").select("doc_id", "node", "class_id", "class_size")
 
 
 def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -204,7 +204,7 @@ def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:
     kept = store.written(classes(docs, least).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))), "kept")
     ids = kept.groupBy("doc_id", "node").agg(F.count("*").alias("n"), F.first("class_id").alias("c"))
     repeated = ids.filter(F.col("n") > 1).limit(1).count() or kept.groupBy("class_id").count().filter("count > 1").limit(1).count()
-    out = docs.withColumn("__node", _node()).join(kept.select(F.col("doc_id").alias("k_id"), F.col("node").alias("k_node")).distinct(), (F.col("__node") == F.col("k_node")) & F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
+    out = docs.withColumn("__node", _node()).join(kept.select(F.col("doc_id").alias("k_id"), F.col("node").alias("k_node")).distinct().hint("merge"), (F.col("__node") == F.col("k_node")) & F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
     if repeated:  # equal ids within a class: any one of its rows
         one = kept.groupBy("class_id").agg(F.min("node").alias("m_node")).select("m_node")
         out = out.join(one, F.col("__node") == F.col("m_node"), "left_semi").dropDuplicates(["doc_id", "__node"])
