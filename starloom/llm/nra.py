@@ -28,7 +28,7 @@ from pyspark.sql import window as W
 from . import store
 
 SCALE, EVERY, K = 256, 50, 5
-CANDIDATES, QUERIES, BLOCK = 1 << 14, 1 << 11, 1 << 11
+CANDIDATES, QUERIES, BLOCK = 1 << 14, 1 << 9, 1 << 11
 
 
 def scaled(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -41,44 +41,56 @@ def scaled(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 class Lists:
-    """The sorted lists of one block of vectors."""
+    """The sorted lists of one block of vectors: by dimension, from either end."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, np.ascontiguousarray(vectors.T)
-        self.up = np.argsort(self.vectors, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(self.vectors, self.up, axis=1)
+        dims, n = self.vectors.shape
+        up = np.argsort(self.vectors, axis=1, kind="stable")
+        self.order = np.stack([up, up[:, ::-1]]).astype(np.int32)
+        # components are small integers, exact in 32 bits
+        self.value = np.take_along_axis(self.vectors[None], self.order, axis=2).astype(np.float32 if np.abs(vectors).max(initial=0) < 1 << 11 else np.float64)
+        rank = np.empty((dims, n), np.int32)
+        np.put_along_axis(rank, up, np.arange(n, dtype=np.int32)[None], axis=1)
+        self.rank = np.stack([rank, n - 1 - rank])
 
     def best(self, query: np.ndarray, own: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of all that may be among the best k and reach `least`; at most k but for ties."""
+        """The k best ids and scores, by score and then id, of all that may reach `least`."""
         dims, n = self.vectors.shape
-        down = query >= 0
-        order = np.where(down[:, None], self.up[:, ::-1], self.up)
-        value = np.where(down[:, None], self.sorted[:, ::-1], self.sorted) * query[:, None]
-        low, seen = np.zeros(n), np.zeros((dims, n), np.float32)
-        mine = self.ids == own
-        depth, step = 0, max(64, n // 16)
-        alive = ~mine
-        while depth < n:
-            end = min(n, depth + step)
-            at = order[:, depth:end]
-            low += np.bincount(at.ravel(), weights=value[:, depth:end].ravel(), minlength=n)
-            np.put_along_axis(seen, at, np.float32(1), axis=1)
-            depth, step = end, step * 2
-            if depth == n:
-                break
-            far, near = value[:, -1], value[:, depth - 1]
-            known = np.array([far, near]).astype(np.float64) @ seen
-            lower = low + (far.sum() - known[0])
-            upper = low + (near.sum() - known[1])
-            lower[mine] = -np.inf
-            bar = max(least, np.partition(lower, n - k)[n - k]) if n > k else least
-            alive = ~mine & (upper >= bar)
-            if alive.sum() <= 2 * k:
+        end, dim = (query >= 0).astype(np.int64), np.arange(dims)
+        far = query * self.value[end, dim, -1]
+        depth = max(1, n // 2)
+        at = self.order[end, dim, :depth].ravel()
+        value = self.value[end, dim, :depth]
+        value *= query.astype(value.dtype)[:, None]
+        near = value[:, -1].astype(np.float64)
+        value -= value[:, -1:]
+        upper = np.bincount(at, weights=value.ravel(), minlength=n) + near.sum()
+        if least > -np.inf:
+            alive = np.flatnonzero((upper >= least) & (self.ids != own))
+            low = np.full(len(alive), -np.inf)
+        else:
+            value += (near - far).astype(value.dtype)[:, None]
+            low = np.bincount(at, weights=value.ravel(), minlength=n) + far.sum()
+            alive = np.flatnonzero(self.ids != own)
+            low = low[alive]
+        high = upper[alive]
+        while True:
+            # no outsider can qualify once its upper bound is below the k-th best lower bound
+            bar = max(least, np.partition(low, len(low) - k)[len(low) - k]) if len(low) > k else least
+            alive = alive[high >= bar]
+            if depth == n or len(alive) <= 4 * k:
                 break
-        at = np.flatnonzero(alive)
-        score = (query @ self.vectors[:, at]).astype(np.int64)
-        keep = np.lexsort((self.ids[at], -score))[:k]
-        return self.ids[at][keep], score[keep]
+            # read on; entries of those that are out no longer matter
+            depth = min(n, depth + max(1, n // 8))
+            near = query * self.value[end, dim, depth - 1]
+            seen = self.rank[end[:, None], dim[:, None], alive[None]] < depth
+            value = self.vectors[:, alive] * query[:, None]
+            low = np.where(seen, value, far[:, None]).sum(axis=0)
+            high = np.where(seen, value, near[:, None]).sum(axis=0)
+        score = (query @ self.vectors[:, alive]).astype(np.int64)
+        keep = np.lexsort((self.ids[alive], -score))[:k]
+        return self.ids[alive][keep], score[keep]
 
 
 def _tile(key: tuple, queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
