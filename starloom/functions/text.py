@@ -59,14 +59,22 @@ def _escape_beyond_ascii(s: pd.Series) -> pd.Series:
     return s.map(lambda x: re.sub(r"[^ -~]", _hex_escape, x), na_action="ignore")
 
 
-def escape_turtle(x: Column | str, turtle: bool = True) -> Column:
-    """Literal text as Turtle (characters from U+00A0 on kept) or N-Triples (all escaped) has it."""
+def escape_short(x: Column | str) -> Column:
+    """The escapes of one letter: backslash, double quote, line ends and tab."""
+    return _only_where(r'[\\"\n\r\t]', _col(x), lambda c: replaced(c, _SHORT))
+
+
+def escape_numeric(x: Column | str, turtle: bool = True) -> Column:
+    """Escapes by code point: for control characters (turtle), or for all but printable ASCII."""
     x = _col(x)
-    short = _only_where(r'[\\"\n\r\t]', x, lambda c: replaced(c, _SHORT))
     if turtle:
-        return _only_where(_regex_class("".join(_HEX_ESCAPED)), short, lambda c: replaced(c, [(k, f"\\u{ord(k):04X}") for k in _HEX_ESCAPED]))
-    odd = F.when(short.rlike("[^ -~]"), short)
-    return F.coalesce(_escape_beyond_ascii(odd), short)
+        return _only_where(_regex_class("".join(_HEX_ESCAPED)), x, lambda c: replaced(c, [(k, f"\\u{ord(k):04X}") for k in _HEX_ESCAPED]))
+    return F.coalesce(_escape_beyond_ascii(F.when(x.rlike("[^ -~]"), x)), x)
+
+
+def escape_turtle(x: Column | str, turtle: bool = True) -> Column:
+    """Literal text as Turtle (characters from U+00A0 on kept) or N-Triples (all escaped) has it."""
+    return escape_numeric(escape_short(x), turtle)
 
 
 def _unescape(x: str) -> str | None:

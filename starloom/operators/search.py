@@ -12,12 +12,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starloom.shared import materialised
+
 from .sorts import first_rows
 
 K1, B = 1.2, 0.75
 MOST_RESULTS, MOST_TAGS, MOST_WORDS = 10_000, 5_000, 8
 OVERLAPS = ("ALL", "NO_SUB", "LONGEST_DOMINANT_RIGHT")
-_WORD = re.compile(r"\w+")
+_WORD = re.compile(r"[A-Za-z0-9_]+")
+#: A dictionary of up to so many phrases goes to the tasks, which then pass on matches alone.
+SENT_PHRASES = 200_000
 
 
 def tokens(x: Column | str) -> Column:
@@ -26,8 +30,8 @@ def tokens(x: Column | str) -> Column:
     return F.filter(F.split(F.lower(x), r"\W+"), lambda t: t != "")
 
 
-def _times(term: str) -> Column:
-    return F.size(F.filter("__t", lambda x: x == term))
+def _times(low: Column, term: str) -> Column:
+    return F.regexp_count(low, F.lit(rf"(?<![A-Za-z0-9_]){term}(?![A-Za-z0-9_])"))
 
 
 def bm25(docs: DataFrame, query: Iterable[str], id_col: str = "id", text_col: str = "text", k1: float = K1, b: float = B, length_norm: bool = True, payload_col: str | None = None) -> DataFrame:
@@ -36,26 +40,25 @@ def bm25(docs: DataFrame, query: Iterable[str], id_col: str = "id", text_col: st
     score = Σ idf · tf (k1 + 1) / (tf + k1 (1 - b + b · length / mean length)), with
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)); without length_norm the length counts as the
     mean. A payload divides a document's score by its root. Terms are counted within each
-    row: N, mean length and df are one aggregate over the corpus, and no token is shuffled.
+    row and the counts written, so texts are read once and no token is shuffled; N, mean
+    length and df are one aggregate over the counts. What is no word never occurs.
     """
-    terms = sorted({t.lower() for t in query})
-    if not terms:
-        raise ValueError("no query term")
-    counted = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("__t"), *([F.col(payload_col).alias("__payload")] if payload_col else []))
-    tf = [_times(t) for t in terms]
-    counted = counted.select("id", F.size("__t").alias("__length"), F.array(*tf).alias("__tf"), *(["__payload"] if payload_col else []))
-    totals = counted.agg(F.count("*").alias("__n"), F.avg("__length").alias("__mean"), F.array(*(F.count_if(F.col("__tf")[i] > 0) for i in range(len(terms)))).alias("__df"))
-    total = totals.first()  # one row
-    hits = counted.filter(F.exists("__tf", lambda n: n > 0))
-    ratio = F.col("__length") / F.lit(total["__mean"] or 1.0) if length_norm else F.lit(1.0)
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        n, df = F.col("__tf")[i], total["__df"][i]
-        idf = math.log(1 + (total["__n"] - df + 0.5) / (df + 0.5))
+    terms = sorted({t.lower() for t in query if re.fullmatch(r"[A-Za-z0-9_]+", t)})
+    low = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("__low"), *([F.col(payload_col).alias("__payload")] if payload_col else []))
+    names = [f"__tf{i}" for i in range(len(terms))]
+    counted = low.select("id", F.regexp_count("__low", F.lit("[A-Za-z0-9_]++")).alias("__length"), *(_times(F.col("__low"), t).alias(n) for n, t in zip(names, terms)), *(["__payload"] if payload_col else []))
+    counted = materialised(counted, "term-counts")
+    total = counted.agg(F.count("*").alias("n"), F.avg("__length").alias("mean"), *(F.count_if(F.col(n) > 0).alias(n) for n in names)).first()  # one row
+    ratio = F.col("__length") / F.lit(total["mean"] or 1.0) if length_norm else F.lit(1.0)
+    score, some = F.lit(0.0), F.lit(False)
+    for name in names:
+        n, df = F.col(name), total[name]
+        idf = math.log(1 + (total["n"] - df + 0.5) / (df + 0.5))
         score = score + F.when(n > 0, F.lit(idf) * n * (k1 + 1) / (n + k1 * (1 - b + b * ratio))).otherwise(0.0)
+        some = some | (n > 0)
     if payload_col:
         score = score * F.coalesce(F.lit(1.0) / F.sqrt(F.when(F.col("__payload") > 0, F.col("__payload"))), F.lit(1.0))
-    return hits.select("id", score.alias("score"))
+    return counted.filter(some).select("id", score.alias("score"))
 
 
 def find(docs: DataFrame, condition: Column, filters: Iterable[Column] = (), order: Iterable[str] = ("id",), rows: int = MOST_RESULTS) -> DataFrame:
@@ -79,19 +82,33 @@ def phrase(x: Column | str) -> Column:
     return F.array_join(tokens(x), " ")
 
 
-def _text_phrases(lengths: list[int]):
-    """Every run of the given numbers of words of each text, with its place in code points."""
+def _text_phrases(lengths: list[int], sent):
+    """Every run of the given numbers of words of each text, with its place in code points.
+
+    sent: a broadcast set of phrases; if given, only runs that are among them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value if sent else None
         for batch in batches:
+            ids, out = batch.column(0), []
+
+            def rows() -> pa.RecordBatch:
+                row, a, b, p = (list(c) for c in zip(*out))
+                out.clear()
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(p)], names=["id", "start", "end", "phrase"])
+
             for i, text in enumerate(batch.column(1)):
-                low = text.as_py() or ""
-                spans = [m.span() for m in re.finditer(r"[A-Za-z0-9_]+", low)]
-                words = [low[a:b].lower() for a, b in spans]
-                out = [(spans[k][0], spans[k + n - 1][1], " ".join(words[k : k + n])) for n in lengths for k in range(len(spans) - n + 1)]
-                for at in range(0, len(out), 50_000):
-                    a, b, p = (list(c) for c in zip(*out[at : at + 50_000]))
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(a), batch.column(0).type), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(p)], names=["id", "start", "end", "phrase"])
+                spans = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(text.as_py() or "")]
+                for n in lengths:
+                    for k in range(len(spans) - n + 1):
+                        p = spans[k][2] if n == 1 else " ".join([w for _, _, w in spans[k : k + n]])
+                        if known is None or p in known:
+                            out.append((i, spans[k][0], spans[k + n - 1][1], p))
+                    if len(out) >= 50_000:
+                        yield rows()
+            if out:
+                yield rows()
 
     return run
 
@@ -129,8 +146,8 @@ def tag(texts: DataFrame, dictionary: DataFrame, id_col: str = "id", text_col: s
     """Occurrences of dictionary labels (id, label) in texts: id, start_offset, end_offset, match_text, ids.
 
     Labels of up to MOST_WORDS words match word by word, whatever their case. Texts give their
-    phrases of the lengths that labels have; phrases and labels meet in one equality join,
-    and a text's overlaps are resolved from its matches alone. At most `most` tags a text,
+    phrases of the lengths that labels have; phrases and labels meet in one equality join
+    (a dictionary of checked size is looked up before it), and a text's overlaps are resolved from its matches alone. At most `most` tags a text,
     the first ones.
     """
     if overlap not in OVERLAPS:
@@ -140,7 +157,9 @@ def tag(texts: DataFrame, dictionary: DataFrame, id_col: str = "id", text_col: s
     entries = entries.groupBy("phrase").agg(F.sort_array(F.collect_set("entry")).alias("ids"))
     lengths = sorted(r["n"] for r in entries.select(F.size(F.split("phrase", " ")).alias("n")).distinct().collect())  # MOST_WORDS numbers at most
     kind = texts.schema[id_col].dataType.simpleString()
-    phrases = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_text_phrases(lengths), f"id {kind}, start int, end int, phrase string")
+    first = [r["phrase"] for r in entries.select("phrase").limit(SENT_PHRASES + 1).collect()]
+    sent = texts.sparkSession.sparkContext.broadcast(frozenset(first)) if len(first) <= SENT_PHRASES else None
+    phrases = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_text_phrases(lengths, sent), f"id {kind}, start int, end int, phrase string")
     hits = phrases.join(entries, "phrase").select("id", "start", "end", "ids")
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:

@@ -12,7 +12,7 @@ from starloom.functions import uris
 from starloom.functions.namespaces import Namespaces
 from starloom.operators import documents, filters, groups, maps, merges, search, sets, sorts, star
 from starloom.schema import FIELDS, LANG_STRING, XSD_STRING, has_object_predicate, statement
-from starloom.sinks.render import rendered
+from starloom.sinks.render import render
 from starloom.sinks.writers import split_names
 from starloom.sources import headers
 from starloom.sources.lines import line_counts, parsed
@@ -42,8 +42,8 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with their nations as N-Triples text, parsed back, sorted and rendered again."""
-    lines = statements(spark, sf_dir, "customer", "nation").select(rendered("n-triples").alias("value"))
-    return sorts.sort_by(good_lines(parsed(lines))).select(rendered("n-triples", raw=True).alias("line"))
+    lines = render(statements(spark, sf_dir, "customer", "nation"))
+    return render(sorts.sort_by(good_lines(parsed(lines))), raw=True, name="line")
 
 
 def _origin(df: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def _origin(df: DataFrame) -> DataFrame:
 
 @query(f"SELECT subject, predicate, value, datatype, language, context FROM ({statements_sql('customer', 'nation')})")
 def parse_roundtrip(spark, sf_dir):
-    lines = statements(spark, sf_dir, "customer", "nation").select(rendered("n-triples").alias("value"))
+    lines = render(statements(spark, sf_dir, "customer", "nation"))
     return good_lines(parsed(lines)).drop("dataset")
 
 
@@ -85,7 +85,7 @@ def line_status(spark, sf_dir):
 @query("SELECT doc_id, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents")
 def literal_roundtrip(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(statement(iri("document", "doc_id"), NS + "text", F.coalesce("text", F.lit("")), XSD_STRING).alias("s")).select("s.*")
-    back = good_lines(parsed(docs.select(rendered("turtle-quads").alias("value")))).withColumn("text", tx.unescape_turtle("value"))
+    back = good_lines(parsed(render(docs, "turtle-quads"))).withColumn("text", tx.unescape_turtle("value"))
     return back.select(F.substring_index("subject", "/", -1).cast("long").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), tx.md5_hex("text").alias("digest"))
 
 
@@ -98,13 +98,13 @@ _TERSE = "'<' || subject || '> <' || predicate || '> ' || CASE WHEN datatype IS
 
 @query(_render_sql(_TERSE + " || '.'", "nation", "region", "part"))
 def render_ntriples(spark, sf_dir):
-    return statements(spark, sf_dir, "nation", "region", "part").select("subject", "predicate", rendered("n-triples").alias("line"))
+    return render(statements(spark, sf_dir, "nation", "region", "part"), "n-triples", keep=("subject", "predicate"), name="line")
 
 
 @query(_render_sql(_TERSE + " || '<http://ex.org/graph/' || dataset || '> .'", "nation", "supplier"))
 def render_nquads(spark, sf_dir):
     df = statements(spark, sf_dir, "nation", "supplier")
-    return maps.changed(df, context=F.concat(F.lit("http://ex.org/graph/"), "dataset")).select("subject", "predicate", rendered("n-quads").alias("line"))
+    return render(maps.changed(df, context=F.concat(F.lit("http://ex.org/graph/"), "dataset")), "n-quads", keep=("subject", "predicate"), name="line")
 
 
 _TRIX = "'  <graph>' || chr(10) || '    <triple>' || chr(10) || '      <uri>' || subject || '</uri>' || chr(10) || '      <uri>' || predicate || '</uri>' || chr(10) || CASE WHEN datatype IS NULL THEN '      <uri>' || value || '</uri>' ELSE '      <typedLiteral datatype=\"' || datatype || '\">' || value || '</typedLiteral>' END || chr(10) || '    </triple>' || chr(10) || '  </graph>'"
@@ -112,7 +112,7 @@ _TRIX = "'  <graph>' || chr(10) || '    <triple>' || chr(10) || '      <uri>' ||
 
 @query(_render_sql(_TRIX, "nation", "region"))
 def render_trix(spark, sf_dir):
-    return statements(spark, sf_dir, "nation", "region").select("subject", "predicate", rendered("trix-triples").alias("line"))
+    return render(statements(spark, sf_dir, "nation", "region"), "trix-triples", keep=("subject", "predicate"), name="line")
 
 
 _J = lambda x: f"'\"' || replace({x}, '/', '\\/') || '\"'"
@@ -121,7 +121,7 @@ _JSON = f"'{{' || {_J('subject')} || ' : {{ ' || {_J('predicate')} || CASE WHEN
 
 @query(_render_sql(_JSON, "nation", "region"))
 def render_rdfjson(spark, sf_dir):
-    return statements(spark, sf_dir, "nation", "region").select("subject", "predicate", rendered("rdf-json").alias("line"))
+    return render(statements(spark, sf_dir, "nation", "region"), "rdf-json", keep=("subject", "predicate"), name="line")
 
 
 @query("SELECT n_name AS name, lower(n_name) || '_set' AS dataset, n_nationkey::BIGINT AS size, 'n-triples' AS serialization, 2::BIGINT AS n_traits FROM nation")

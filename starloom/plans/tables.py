@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.schema import FIELDS
+from starloom.shared import spread
 
 BASE, NS = "http://ex.org", "http://ex.org/ns#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -28,7 +29,8 @@ TABLES: dict[str, tuple[tuple[str, ...], dict[str, str]]] = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, dealt over all cores where it is one small file."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def iri(name: str, *keys: str | Column) -> Column:

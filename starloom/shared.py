@@ -25,3 +25,13 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/starloom-core/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores.
+
+    Only a table of fewer files than cores is dealt out anew, so what moves is bounded by the
+    number of cores; larger tables stay as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df

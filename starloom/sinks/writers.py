@@ -14,7 +14,7 @@ from starloom.operators.filters import condition
 from starloom.shared import materialised
 from starloom.sources import paths
 
-from .render import footer, header, render, rendered
+from .render import footer, header, render
 
 
 class Sink(Protocol):
@@ -96,6 +96,6 @@ def write_split(df: DataFrame, base_dir: str, formats: Mapping[str, str], explic
     """
     named = materialised(split_names(df, explicit, namespaces, default), "split") if len(formats) > 1 else split_names(df, explicit, namespaces, default)
     for suffix, fmt in formats.items():
-        lines = named.select("dataset", rendered(fmt, raw).alias("value")).hint("rebalance", "dataset")
+        lines = render(named, fmt, raw, keep=("dataset",)).hint("rebalance", "dataset")
         lines.write.partitionBy("dataset").option("compression", paths.codec(suffix)).text(f"{base_dir.rstrip('/')}/{suffix.lstrip('.')}")
 

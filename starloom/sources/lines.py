@@ -9,27 +9,22 @@ from pyspark.sql import functions as F
 
 from starloom.schema import FIELDS, LANG_STRING, ORIGIN, XSD_STRING
 
-#: One statement. Groups: subject, predicate, <object>, "literal", @language or ^^<datatype>, <context>.
-#: Possessive quantifiers keep the matcher iterative however long a literal is; groups 3 to 6 keep
-#: their delimiters, so that an absent group and an empty value differ.
-GRAMMAR = r"""(?s)\A[ \t]*<([^>]*+)>[ \t]*<([^>]*+)>[ \t]*(?:(<[^>]*+>)|("[^"\\]*+(?:\\.[^"\\]*+)*+")(@[a-z][a-z0-9-]*+|\^\^<[^>]*+>)?)[ \t]*(<[^>]*+>)?[ \t]*\.[ \t]*\z"""
-_CUT = "\x01"
+#: One statement. Groups: subject, predicate, <object, @language, ^^<datatype, <context, "literal".
+#: Possessive quantifiers keep the matcher iterative however long a literal is. Optional groups
+#: keep their first mark, so that an absent one and an empty value differ; none but the last
+#: can hold the > at which the fields are cut apart again.
+GRAMMAR = r"""(?s)\A[ \t]*<([^>]*+)>[ \t]*<([^>]*+)>[ \t]*(?:(<[^>]*+)>|("[^"\\]*+(?:\\.[^"\\]*+)*+")(?:(@[a-z][a-z0-9-]*+)|(\^\^<[^>]*+)>)?)[ \t]*(?:(<[^>]*+)>)?[ \t]*\.[ \t]*\z"""
+_FIELDS_OF = ">$1>$2>$3>$5>$6>$7>$4"
 COMMENT, STATEMENT_LINE, REJECT, BLANK = "comment", "statement", "reject", "blank"
 
 
 def _groups(line: Column) -> Column:
-    """An array: '' and the six groups if the line is a statement, else one other element.
+    """An empty string and the groups, literal last, of a statement; something else for other lines.
 
-    The grammar is matched once; a line that holds the separator itself is taken apart
-    group by group instead.
+    The grammar is matched once. What it rewrites begins with >, which no line does that gets here.
     """
-    once = F.split(F.regexp_replace(line, F.lit(GRAMMAR), F.lit(_CUT + _CUT.join(f"${k}" for k in range(1, 7)))), _CUT)
-    apart = F.when(line.rlike(GRAMMAR), F.array(F.lit(""), *(F.regexp_extract(line, GRAMMAR, k) for k in range(1, 7)))).otherwise(F.array(line))
-    return F.when(F.contains(line, F.lit(_CUT)), apart).otherwise(once)
-
-
-def _inner(x: Column, left: int, right: int) -> Column:
-    return F.substring(x, F.lit(left + 1), F.length(x) - (left + right))
+    begins = F.left(line, F.lit(1)).isin(" ", "\t", "<")
+    return F.when(begins, F.split(F.regexp_replace(line, F.lit(GRAMMAR), F.lit(_FIELDS_OF)), ">", 8))
 
 
 def parsed(lines: DataFrame, column: str = "value", dataset: str | None = None) -> DataFrame:
@@ -39,23 +34,25 @@ def parsed(lines: DataFrame, column: str = "value", dataset: str | None = None)
     Literals keep their escapes. A null line is blank. Further columns of `lines` come along
     unless a statement's field has the same name; the line itself is in `line`.
     """
-    rest = [c for c in lines.columns if c != column and c not in FIELDS and c not in ("line", "line_class", "_g")]
-    g = F.col("_g")
-    kind = F.when(F.col("line").isNull() | (F.col("line") == ""), BLANK).when(F.startswith("line", F.lit("#")), COMMENT).when((F.size("_g") == 7) & (g[0] == ""), STATEMENT_LINE).otherwise(REJECT)
-    cut = lines.select(F.col(column).alias("line"), *rest).withColumn("_g", _groups(F.coalesce("line", F.lit(""))))
-    good = F.col("line_class") == STATEMENT_LINE
-    suffix = g[5]
+    rest = [c for c in lines.columns if c != column and c not in FIELDS and c not in ("line", "line_class", "_s", "_g")]
+    cut = lines.select(F.col(column).alias("line"), *rest).withColumn("_s", _groups(F.col("line")))
+    cut = cut.withColumn("_g", F.when(F.get("_s", F.lit(0)) == "", F.col("_s"))).drop("_s")
+    subject, predicate, value, language, datatype, context, literal = (F.get("_g", F.lit(k)) for k in range(1, 8))
+
+    def after(x: Column, marks: int) -> Column:
+        return F.when(x != "", F.substring(x, F.lit(marks + 1), F.length(x)))
+
     fields = {
-        "dataset": F.lit(dataset).cast("string"),
-        "subject": g[1],
-        "predicate": g[2],
-        "value": F.when(g[3] != "", _inner(g[3], 1, 1)).otherwise(_inner(g[4], 1, 1)),
-        "datatype": F.when(g[3] != "", None).when(suffix == "", XSD_STRING).when(F.startswith(suffix, F.lit("@")), LANG_STRING).otherwise(_inner(suffix, 3, 1)),
-        "language": F.when(F.startswith(suffix, F.lit("@")), F.substring(suffix, F.lit(2), F.length(suffix))),
-        "context": F.when(g[6] != "", _inner(g[6], 1, 1)),
+        "dataset": F.when(F.col("_g").isNotNull(), F.lit(dataset).cast("string")),
+        "subject": subject,
+        "predicate": predicate,
+        "value": F.coalesce(after(value, 1), F.substring(literal, F.lit(2), F.length(literal) - 2)),
+        "datatype": F.when(value == "", F.coalesce(after(datatype, 3), F.when(language != "", LANG_STRING).otherwise(XSD_STRING))),
+        "language": after(language, 1),
+        "context": after(context, 1),
     }
-    out = cut.withColumn("line_class", kind)
-    return out.select(*(F.when(good, fields[c]).alias(c) for c in FIELDS), *rest, "line", "line_class")
+    kind = F.when(F.coalesce(F.col("line") == "", F.lit(True)), BLANK).when(F.startswith("line", F.lit("#")), COMMENT).when(F.col("_g").isNotNull(), STATEMENT_LINE).otherwise(REJECT)
+    return cut.select(*(fields[c].alias(c) for c in FIELDS), *rest, "line", kind.alias("line_class"))
 
 
 def read_lines(spark: SparkSession, paths: str | Iterable[str], glob: str | None = None, recursive: bool = False) -> DataFrame:
