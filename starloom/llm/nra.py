@@ -19,6 +19,8 @@ as candidates, but never for the query of their own id; an empty table gives an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,54 +43,57 @@ def scaled(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 class Lists:
-    """The sorted lists of one block of vectors: by dimension, from either end."""
+    """The sorted lists of one block of vectors: by dimension, read from either end.
+
+    All queries of a tile read the first half of their lists together: what stands in a list
+    before the reading position is laid out by vector (nothing where a vector has not been
+    met), so that the bounds of all vectors for all queries are products of matrices.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, np.ascontiguousarray(vectors.T)
-        dims, n = self.vectors.shape
-        up = np.argsort(self.vectors, axis=1, kind="stable")
-        self.order = np.stack([up, up[:, ::-1]]).astype(np.int32)
-        # components are small integers, exact in 32 bits
-        self.value = np.take_along_axis(self.vectors[None], self.order, axis=2).astype(np.float32 if np.abs(vectors).max(initial=0) < 1 << 11 else np.float64)
-        rank = np.empty((dims, n), np.int32)
-        np.put_along_axis(rank, up, np.arange(n, dtype=np.int32)[None], axis=1)
-        self.rank = np.stack([rank, n - 1 - rank])
-
-    def best(self, query: np.ndarray, own: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """The k best ids and scores, by score and then id, of all that may reach `least`."""
-        dims, n = self.vectors.shape
-        end, dim = (query >= 0).astype(np.int64), np.arange(dims)
-        far = query * self.value[end, dim, -1]
-        depth = max(1, n // 2)
-        at = self.order[end, dim, :depth].ravel()
-        value = self.value[end, dim, :depth]
-        value *= query.astype(value.dtype)[:, None]
-        near = value[:, -1].astype(np.float64)
-        value -= value[:, -1:]
-        upper = np.bincount(at, weights=value.ravel(), minlength=n) + near.sum()
-        if least > -np.inf:
-            alive = np.flatnonzero((upper >= least) & (self.ids != own))
-            low = np.full(len(alive), -np.inf)
-        else:
-            value += (near - far).astype(value.dtype)[:, None]
-            low = np.bincount(at, weights=value.ravel(), minlength=n) + far.sum()
-            alive = np.flatnonzero(self.ids != own)
-            low = low[alive]
-        high = upper[alive]
-        while True:
-            # no outsider can qualify once its upper bound is below the k-th best lower bound
-            bar = max(least, np.partition(low, len(low) - k)[len(low) - k]) if len(low) > k else least
-            alive = alive[high >= bar]
-            if depth == n or len(alive) <= 4 * k:
-                break
+        self.ids, self.values = ids, vectors
+        self.ordered = np.sort(vectors, axis=0)
+        n = len(ids)
+        self.half = max(1, n // 2)
+        self.top, self.low = self.ordered[n - self.half], self.ordered[self.half - 1]
+
+    def bounds(self, queries: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """Upper and, if asked for, lower bounds (queries x vectors) after half of each list."""
+        plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
+        # met: the value itself; not met: no better than the reading position, no worse than the list's end
+        upper = plus @ np.maximum(self.values, self.top).T + minus @ np.minimum(self.values, self.low).T
+        if not lower:
+            return upper, None
+        met_top, met_low = self.values >= self.top, self.values <= self.low
+        return upper, plus @ np.where(met_top, self.values, self.ordered[0]).T + minus @ np.where(met_low, self.values, self.ordered[-1]).T
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the k best ids and scores, by score and then id, of all that may reach its `least`."""
+        n = len(self.ids)
+        open_ = bool((least == -np.inf).any()) and n > k
+        upper, lower = self.bounds(queries, open_)
+        bar = least
+        if open_:
+            lower[self.ids[None] == own[:, None]] = -np.inf
+            bar = np.maximum(least, np.partition(lower, n - k, axis=1)[:, n - k])
+        for i, q in enumerate(queries):
+            alive = np.flatnonzero(upper[i] >= bar[i])
+            alive = alive[self.ids[alive] != own[i]]
+            yield self._resolved(q, alive, k, float(bar[i]))
+
+    def _resolved(self, q: np.ndarray, alive: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        n, depth = len(self.ids), self.half
+        far = np.where(q >= 0, self.ordered[0], self.ordered[-1]) * q
+        while depth < n and len(alive) > max(4 * k, n // 16):
             # read on; entries of those that are out no longer matter
             depth = min(n, depth + max(1, n // 8))
-            near = query * self.value[end, dim, depth - 1]
-            seen = self.rank[end[:, None], dim[:, None], alive[None]] < depth
-            value = self.vectors[:, alive] * query[:, None]
-            low = np.where(seen, value, far[:, None]).sum(axis=0)
-            high = np.where(seen, value, near[:, None]).sum(axis=0)
-        score = (query @ self.vectors[:, alive]).astype(np.int64)
+            near = np.where(q >= 0, self.ordered[n - depth], self.ordered[depth - 1]) * q
+            value = self.values[alive] * q
+            low, high = np.where(value >= near, value, far).sum(axis=1), np.maximum(value, near).sum(axis=1)
+            # no outsider can qualify once its upper bound is below the k-th best lower bound
+            least = max(least, float(np.partition(low, len(low) - k)[len(low) - k]))
+            alive = alive[high >= least]
+        score = (self.values[alive] @ q).astype(np.int64)
         keep = np.lexsort((self.ids[alive], -score))[:k]
         return self.ids[alive][keep], score[keep]
 
@@ -103,14 +108,15 @@ def _tile(key: tuple, queries: pa.Table, candidates: pa.Table, k: int) -> pa.Tab
         return t.column("id").to_numpy(), v.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
 
     (qid, q), (cid, c) = matrix(queries), matrix(candidates)
+    # sums of integers below 2**24 are exact in 32 bits
+    if q.shape[1] * np.abs(q).max() * np.abs(c).max() < 1 << 24:
+        q, c = q.astype(np.float32), c.astype(np.float32)
     found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in qid]
     for a in range(0, len(cid), BLOCK):
         lists = Lists(cid[a : a + BLOCK], c[a : a + BLOCK])
-        for i in range(len(qid)):
-            ids, scores = found[i]
-            least = float(scores[k - 1]) if len(scores) >= k else -np.inf
-            more, got = lists.best(q[i], qid[i], k, least)
-            ids, scores = np.concatenate([ids, more]), np.concatenate([scores, got])
+        least = np.array([float(s[k - 1]) if len(s) >= k else -np.inf for _, s in found])
+        for i, (more, got) in enumerate(lists.search(q, qid, k, least)):
+            ids, scores = np.concatenate([found[i][0], more]), np.concatenate([found[i][1], got])
             best = np.lexsort((ids, -scores))[:k]
             found[i] = ids[best], scores[best]
     sizes = [len(x) for x, _ in found]
