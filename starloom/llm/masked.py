@@ -281,7 +281,7 @@ def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             for a in range(0, len(batch), 256):
                 part = batch.slice(a, 256)
                 ids, at, sizes = _padded(part)
-                total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=log_probs(net, own, ids, at), minlength=len(sizes))
+                total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=log_probs(net, own, ids, at), minlength=len(sizes)).astype(np.float64)
                 empty = sizes == 0
                 mean = total / np.maximum(sizes, 1)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(total), pa.array(mean, mask=empty), pa.array(np.exp(-mean), mask=empty)], names=[x.split()[0] for x in FIELDS.split(", ")])

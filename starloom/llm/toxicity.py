@@ -31,7 +31,8 @@ from . import textops
 
 BITS = 20
 MAX_POSITIVE, MAX_NEGATIVE, MAX_FEATURES = 3000, 5000, 50_000
-ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 8.0, 1.0, 10
+#: Chosen on one half of the rows that may be learnt from, fitted on the other.
+ALPHA, BETA, L1, L2, EPOCHS = 3.0, 1.0, 16.0, 1.0, 10
 THRESHOLD = 0.7
 STEMS = (4, 6)
 
