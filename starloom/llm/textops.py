@@ -47,7 +47,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return got[:n]
 
 
-def slices(col: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(col: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes of text; a longer text stands alone."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), np.int64)
     at, held = 0, 0
