@@ -92,7 +92,7 @@ class Settings:
     @classmethod
     def load(cls, spark: SparkSession, path: str, defaults: Mapping[str, object] | None = None) -> Settings:
         """From a .json file or else a properties file, by any path that Spark reads."""
-        text = spark.read.option("wholetext", "true").text(path).first()
+        text = spark.read.text(path, wholetext=True).first()
         body = text[0] if text else ""
         return cls.of(defaults or {}, json.loads(body) if path.endswith(".json") else parse_properties(body))
 
