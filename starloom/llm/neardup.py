@@ -9,9 +9,12 @@ probability Jaccard similarity (for texts without repeated shingles: the Jaccard
 Equal texts are one node from the start. Nodes meet in buckets of BANDS x ROWS registers.
 A bucket of up to SMALL nodes gives all its pairs; in a larger one, every node meets the
 bucket's most central nodes (those that share most buckets with others, one from each of
-HUBS classes of nodes), so that a bucket's pairs grow with its size and not its square.
-Pairs whose signatures agree well enough are verified on their whole shingle sets, and the
-connected components of verified links are the classes.
+HUBS classes of nodes). Pairs whose signatures agree well enough are verified on their
+whole shingle sets, and the connected components of verified links are the classes. Where
+the members of a larger bucket are then not all in one component, every member outside the
+bucket's largest one meets all members of other components, block against block, so that
+the classes are those of all pairs of all buckets. A bucket that mixes many classes takes
+signature comparisons up to the square of its size; only the pairs that agree are rows.
 
 Hot groups: bucket sizes and hubs are aggregates combined before their shuffle; joins by
 bucket, hub or text are sort-merge joins of two exchanged sides, which Spark splits where
@@ -39,6 +42,8 @@ WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 SMALL, HUBS = 16, 3
+#: Members of a mixed bucket in one block.
+BLOCK = 1024
 #: Estimates of pairs at LEAST fall below this once in about 30,000 pairs.
 SURE_BELOW = LEAST - 4 * (LEAST * (1 - LEAST) / REGISTERS) ** 0.5
 
@@ -166,8 +171,8 @@ def _verified(least: float):
     return run
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes (node, bands) that share a bucket, as the module describes."""
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """First pairs (a, b), a < b, of nodes (node, bands) that share a bucket, as the module describes; the members (key, node) of larger buckets."""
     in_bands = nodes.select("node", F.explode("bands").alias("key"))
     shared = store.written(in_bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = store.written(in_bands.join(shared.hint("merge"), "key"), "members")
@@ -179,20 +184,59 @@ def candidates(nodes: DataFrame) -> DataFrame:
     hubs = store.written(large.groupBy("key").agg(*(F.max(F.when(kind == j, F.struct("reach", "node"))).alias(f"h{j}") for j in range(HUBS))), "hubs")
     met = large.join(hubs.hint("merge"), "key").select("node", F.explode(F.array(*(F.col(f"h{j}.node") for j in range(HUBS)))).alias("hub")).filter("hub IS NOT NULL AND hub <> node")
     pairs = few.unionByName(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")))
-    return store.written(pairs.distinct(), "pairs")
+    return store.written(pairs.distinct(), "pairs"), large.select("key", "node")
+
+
+def _across(key: tuple, members: pa.Table) -> pa.Table:
+    """Pairs of a row with left and one without, of different components, whose signatures agree well enough."""
+    left = np.asarray(members.column("left").to_numpy(zero_copy_only=False), bool)
+    node, sig = (members.column(c).to_pylist() for c in ("node", "sig"))
+    _, kind = np.unique(np.array([x.hex() for x in members.column("component").to_pylist()]), return_inverse=True)
+    won = np.frombuffer(b"".join(sig), np.uint16).reshape(len(sig), -1)
+    others, pairs = np.flatnonzero(~left), set()
+    for i in np.flatnonzero(left).tolist():
+        far = others[kind[others] != kind[i]]
+        for j in far[(won[far] == won[i]).mean(axis=1) >= SURE_BELOW].tolist():
+            pairs.add((min(node[i], node[j]), max(node[i], node[j])))
+    return pa.table({"a": pa.array([x for x, _ in pairs], pa.binary()), "b": pa.array([y for _, y in pairs], pa.binary())})
+
+
+def _mixed(large: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of agreeing nodes in one larger bucket (key, node) but not in one component of found."""
+    own = store.written(large.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")), "bucket-components")
+    parts = own.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top")).filter("n > top.n")
+    mixed = mixed.select(F.col("key").alias("m_key"), F.col("top.component").alias("top"), F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("rest"))
+    members = own.join(mixed.hint("merge"), F.col("key") == F.col("m_key")).join(nodes.select("node", "sig").hint("merge"), "node")
+    members = store.written(members.select("key", "node", "component", "sig", "top", "blocks", "rest"), "mixed")
+    place = lambda of: F.pmod(F.xxhash64("node", F.lit(9)), F.col(of)).cast("long")
+    upto = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), (F.col(of) - 1).cast("long")))
+    few = members.filter("component <> top").select("key", "node", "component", "sig", place("rest").alias("x"), upto("blocks").alias("y"), F.lit(True).alias("left"))
+    every = members.select("key", "node", "component", "sig", upto("rest").alias("x"), place("blocks").alias("y"), F.lit(False).alias("left"))
+    return few.unionByName(every).groupBy("key", "x", "y").applyInArrow(_across, "a binary, b binary").distinct()
+
+
+def _links(docs: DataFrame, nodes: DataFrame, close: DataFrame, least: float) -> DataFrame:
+    """The pairs of close whose shingle sets are alike."""
+    ends = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
+    wanted = store.written(ends.join(nodes.select("node", "doc_id"), "node"), "wanted").select(F.col("node").alias("w_node"), F.col("doc_id").alias("w_id"))
+    texts = docs.select("doc_id", "text").withColumn("node", _node()).join(wanted.hint("merge"), (F.col("node") == F.col("w_node")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
+    sets = store.written(_sets(texts).dropDuplicates(["node"]), "sets")
+    return store.written(_joined(close, sets, ["x", "c"]).mapInArrow(_verified(least), "a binary, b binary"), "links")
 
 
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """Every row's doc_id, node (digest of its text), class_id and class_size."""
     rows = store.written(_features(docs), "features")
     nodes = store.written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")), "nodes")
-    close = store.written(_joined(candidates(nodes), nodes, ["sig"]).mapInArrow(_alike, "a binary, b binary"), "close")
-    ends = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
-    wanted = store.written(ends.join(nodes.select("node", "doc_id"), "node"), "wanted").select(F.col("node").alias("w_node"), F.col("doc_id").alias("w_id"))
-    texts = docs.select("doc_id", "text").withColumn("node", _node()).join(wanted.hint("merge"), (F.col("node") == F.col("w_node")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
-    sets = store.written(_sets(texts).dropDuplicates(["node"]), "sets")
-    links = _joined(close, sets, ["x", "c"]).mapInArrow(_verified(least), "a binary, b binary")
+    pairs, large = candidates(nodes)
+    close = store.written(_joined(pairs, nodes, ["sig"]).mapInArrow(_alike, "a binary, b binary"), "close")
+    links = _links(docs, nodes, close, least)
     found = graph.components(links)
+    if not large.isEmpty():
+        across = store.written(_mixed(large, nodes, found).join(close.hint("merge"), ["a", "b"], "left_anti"), "across")
+        if not across.isEmpty():
+            found = graph.components(links.unionByName(_links(docs, nodes, across, least)))
     own = rows.select("doc_id", "node").join(found.hint("merge"), "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
     own = store.written(own, "own")
     named = store.written(own.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")

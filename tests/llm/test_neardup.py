@@ -74,6 +74,19 @@ def test_large_buckets_lose_no_link(make_docs, monkeypatch):
     assert got[:120] == [0] * 120 and got[120:] == list(range(120, 160))
 
 
+def test_large_buckets_of_many_classes(make_docs):
+    # one letter in many versions: the two texts of a version are just alike, others are not, and most share buckets
+    rng = random.Random(12)
+    base, texts = words(rng, 180), []
+    for _ in range(120):
+        own = list(base)
+        own[rng.randrange(10, 170)] = words(rng, 1)[0]
+        texts += [" ".join(own + words(rng, 20)) for _ in range(2)]
+    assert 0.8 < jaccard(texts[0], texts[1]) < 0.85 and max(jaccard(texts[0], t) for t in texts[2:]) < 0.8
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(make_docs(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [i - i % 2 for i in range(len(texts))]
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     a = np.sort(rng.integers(0, 1 << 63, 300).astype(np.uint64))
