@@ -11,7 +11,8 @@ is the sum of log P(token | both sides) over all its tokens.
 
 Training (numpy): in every round each task starts from the current network, learns one in
 EVERY places of all its documents by Adagrad, and its parameters are averaged with those of
-all other tasks, weighted by places. Parameters travel in slices that are summed in two
+all other tasks, weighted by places. Round r learns places r, r + EVERY, ..., so EVERY
+rounds learn every place once. Parameters travel in slices that are summed in two
 steps, so no task and not the driver holds more than one network and one step's share.
 
 Defined results: a null or text without words has no tokens, log_prob 0 and null perplexity;
@@ -36,7 +37,7 @@ from . import store, textops
 VOCABULARY, SINGLES, TAILS, SIDE, HIDDEN = 4096, 32, 32, 2, 16
 CLASSES = SINGLES + TAILS
 PAD = VOCABULARY + TAILS
-ROUNDS, EVERY, BATCH, RATE = 2, 8, 512, 0.15
+ROUNDS, EVERY, BATCH, RATE = 8, 8, 512, 0.15
 SLICES, STEP = 32, 64
 _OFFSETS = [d for d in range(-SIDE, SIDE + 1) if d]
 
@@ -219,6 +220,11 @@ def _added(table: pa.Table, key: str) -> pa.Table:
     return pa.table({"slice": table.column("slice").slice(0, 1), "task": table.column(key).slice(0, 1), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "x": pa.array([total.tobytes()], pa.binary())})
 
 
+def learnt(at: np.ndarray, r: int) -> np.ndarray:
+    """The places that round r learns."""
+    return at[r % EVERY :: EVERY]
+
+
 def train(rows: DataFrame, words: Words, rounds: int = ROUNDS) -> Net:
     """The network after all rounds over rows (doc_id, ids)."""
     net = start(words)
@@ -232,7 +238,7 @@ def train(rows: DataFrame, words: Words, rounds: int = ROUNDS) -> Net:
             for batch in batches:
                 for a in range(0, len(batch), 256):
                     ids, at, _ = _padded(batch.slice(a, 256))
-                    at = at[r * (EVERY // 2) % EVERY :: EVERY]
+                    at = learnt(at, r)
                     for i in range(0, len(at), BATCH):
                         places = at[i : i + BATCH]
                         learner.learn(_around(ids, places), klass[ids[places + SIDE]])

@@ -127,6 +127,12 @@ def test_masked_probabilities_sum_to_one(spark, make_docs):
     assert 0.5 < total <= 1 + 1e-6
 
 
+def test_masked_rounds_learn_every_place():
+    at = np.arange(1003)
+    got = np.concatenate([masked.learnt(at, r) for r in range(masked.ROUNDS)])
+    assert sorted(got.tolist()) == at.tolist()
+
+
 def test_masked_edges(spark, make_docs):
     docs = make_docs([None, "", "...", "one"]).withColumnRenamed("lang", "ids")
     got = {r["doc_id"]: r for r in masked.scored(docs).collect()}
