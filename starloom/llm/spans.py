@@ -1,9 +1,13 @@
 """Op 4. Substring deduplication by sliding spans of sentences.
 
 A sentence ends at . ! ? ; or a line's end; one of over LONG words is cut further, after
-words whose hash is divisible by CUT, so that text without punctuation resynchronises too.
+each word whose hash is the least of some CUT words in a row within it (the last of equal
+ones), so that text without punctuation resynchronises too and no piece has over CUT words.
 From every sentence a span runs on to the first sentence that gives it at least RUN
-sentences and WORDS words. Spans are compared by a 64-bit hash of their words (ASCII case
+sentences and WORDS words. What stands around a passage moves cuts in its first and last
+CUT - 1 words only, or leaves up to LONG words of a sentence at its edge uncut; so a common
+passage of 51 words, wherever it begins and ends, holds a whole common span: one begins in
+its first 16 words, and ends within LONG + WORDS words. Spans are compared by a 64-bit hash of their words (ASCII case
 and all punctuation aside) over the whole corpus: the first occurrence, by doc_id and then
 by position, stays; the sentences that any other occurrence covers are removed.
 
@@ -28,8 +32,8 @@ from pyspark.sql import functions as F
 
 from . import store, textops
 
-RUN, WORDS = 3, 20
-LONG, CUT = 16, 6
+RUN, WORDS = 2, 20
+LONG, CUT = 12, 8
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STOP = np.zeros(256, bool)
@@ -49,6 +53,18 @@ class Sentences(NamedTuple):
     offsets: np.ndarray
 
 
+def _least(h: np.ndarray, first: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The places among at whose hash is the least, and the last of equal ones, of some CUT words of their sentence (first to end)."""
+    span, a, b, own = np.ones(len(at), np.int64), first[at], end[at], h[at]
+    left, right = np.ones(len(at), bool), np.ones(len(at), bool)
+    for k in range(1, CUT):
+        left &= (at - k >= a) & (h[np.maximum(at - k, 0)] >= own)
+        right &= (at + k < b) & (h[np.minimum(at + k, len(h) - 1)] > own)
+        span += left
+        span += right
+    return at[span >= CUT]
+
+
 def sentences(col: pa.Array) -> Sentences:
     buf, offsets = textops.as_bytes(col)
     starts, ends, row = textops.runs(buf, offsets, textops.WORD)
@@ -63,7 +79,8 @@ def sentences(col: pa.Array) -> Sentences:
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, n))
     cut = np.zeros(n, bool)
-    cut[1:] = (h[:-1] % np.uint64(CUT) == 0) & np.repeat(size > LONG, size)[1:]
+    after = _least(h, np.repeat(first, size), np.repeat(first + size, size), np.flatnonzero(np.repeat(size > LONG, size))) + 1
+    cut[after[after < n]] = True
     word = np.flatnonzero(new | cut)
     begin = starts[word]
     end = np.append(begin[1:], len(buf))

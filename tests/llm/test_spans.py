@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,21 @@ def test_passages_that_sentences_do_not_mark(make_docs):
     assert len(got[1]["text"].split()) < 100 + 60
 
 
+def common_spans(x, y):
+    one, other = (set(spans.spans(spans.sentences(pa.array([t])))[0].tolist()) for t in (x, y))
+    return one & other
+
+
+@pytest.mark.parametrize("most", [4, 9, 16, 30, 400])
+def test_passages_of_51_words_at_any_place(most):
+    rng = random.Random(most)
+    texts = [" ".join(sentence(rng, rng.randint(1, most)) for _ in range(400 // most + 3)).split() for _ in range(3)]
+    for _ in range(100):
+        a, x, y = (rng.randrange(len(t) - 51) for t in texts)
+        passage = texts[0][a : a + 51]
+        assert common_spans(*(" ".join(t[:i] + passage + t[i:]) for t, i in ((texts[1], x), (texts[2], y))))
+
+
 def test_edges(spark, make_docs):
     docs = make_docs([None, "", "Short. Text."])
     assert {r["doc_id"]: r["text"] for r in spans.removed(docs).collect()} == {0: None, 1: "", 2: "Short. Text."}
