@@ -226,7 +226,7 @@ def _links(docs: DataFrame, nodes: DataFrame, close: DataFrame, least: float) ->
 
 
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """Every row's doc_id, node (digest of its text), class_id and class_size."""
+    """Every row's doc_id, node (digest of its text), class_id, class_size and component (a node of its class)."""
     rows = store.written(_features(docs), "features")
     nodes = store.written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")), "nodes")
     pairs, large = candidates(nodes)
@@ -240,17 +240,17 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     own = rows.select("doc_id", "node").join(found.hint("merge"), "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
     own = store.written(own, "own")
     named = store.written(own.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
-    return own.join(named.hint("merge"), "component").select("doc_id", "node", "class_id", "class_size")
+    return own.join(named.hint("merge"), "component").select("doc_id", "node", "class_id", "class_size", "component")
 
 
 def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """One document of each class, with the columns of docs: the one with the least doc_id."""
     kept = store.written(classes(docs, least).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))), "kept")
     ids = kept.groupBy("doc_id", "node").agg(F.count("*").alias("n"), F.first("class_id").alias("c"))
-    repeated = ids.filter(F.col("n") > 1).limit(1).count() or kept.groupBy("class_id").count().filter("count > 1").limit(1).count()
+    repeated = ids.filter(F.col("n") > 1).limit(1).count() or kept.groupBy("component").count().filter("count > 1").limit(1).count()
     out = docs.withColumn("__node", _node()).join(kept.select(F.col("doc_id").alias("k_id"), F.col("node").alias("k_node")).distinct().hint("merge"), (F.col("__node") == F.col("k_node")) & F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
     if repeated:  # equal ids within a class: any one of its rows
-        one = kept.groupBy("class_id").agg(F.min("node").alias("m_node")).select("m_node")
+        one = kept.groupBy("component").agg(F.min("node").alias("m_node")).select("m_node")
         out = out.join(one, F.col("__node") == F.col("m_node"), "left_semi").dropDuplicates(["doc_id", "__node"])
     return out.select(*docs.columns)
 

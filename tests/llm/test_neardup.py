@@ -123,6 +123,11 @@ def test_edges(spark, make_docs):
     assert neardup.deduplicated(same).count() == 2
 
 
+def test_distinct_texts_without_own_ids_stay(make_docs):
+    docs = make_docs([(None, "p q"), (None, "r s"), (None, "r s"), (3, "t u"), (3, "v w"), (3, "v w")])
+    assert sorted(r["text"] for r in neardup.deduplicated(docs).collect()) == ["p q", "r s", "t u", "v w"]
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 420)] + [(5, 5), (None, 3)]
