@@ -12,8 +12,8 @@ stated query set against all rows. Each tile returns k rows a query, which are m
 ranking that keeps k rows before it shuffles.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component take
-no part, nor do those of another length than the most frequent one (the shorter on ties);
-a null id takes no part; equal scores rank by smaller id; repeated rows of an id count once each
+no part; a product of two lengths is that over the shorter, as in ORACLE (the shorter ones
+are filled up with zeros to the longest of the table); a null id takes no part; equal scores rank by smaller id; repeated rows of an id count once each
 as candidates, but never for the query of their own id; an empty table gives an empty result.
 """
 
@@ -126,9 +126,9 @@ def _tile(key: tuple, queries: pa.Table, candidates: pa.Table, k: int) -> pa.Tab
 def topk(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score for each row where is_query (a Column of id_col) holds."""
     rows = store.written(scaled(vectors, id_col, vector_col), "vectors")
-    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if lengths:
-        rows = rows.filter(F.size("v") == lengths[0]["d"])
+    longest = rows.agg(F.max(F.size("v"))).first()[0]
+    if longest:
+        rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(longest) - F.size("v"))))
     asked = rows.filter(is_query(F.col("id")))
     groups, blocks = max(1, -(-rows.count() // CANDIDATES)), max(1, -(-asked.count() // QUERIES))
     left = asked.withColumn("b", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks))).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))

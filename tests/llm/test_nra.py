@@ -37,3 +37,9 @@ def test_few_and_none(spark):
     assert sorted(map(tuple, nra.topk(df, lambda i: i % 5 == 0).collect())) == [(0, 1, 5, 131072), (5, 1, 0, 131072)]
     assert nra.topk(df.limit(0), lambda i: i % 5 == 0).count() == 0
     assert nra.topk(df.withColumn("query_id", F.lit(1)), lambda i: i == 1).count() == 0
+
+
+def test_mixed_lengths_keep_all_vectors(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (5, [2.0]), (6, [3.0, 1.0])], "vec_id long, embedding array<double>")
+    want = [(0, 1, 6, 5 << 16), (0, 2, 5, 2 << 16), (5, 1, 6, 6 << 16), (5, 2, 0, 2 << 16)]
+    assert sorted(map(tuple, nra.topk(df, lambda i: i % 5 == 0).collect())) == want
