@@ -80,7 +80,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 own, at, n = np.unique(h, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(tail[at]), pa.array(n, pa.int64())], names=["h", "tail", "n"])
 
-    return docs.select("text").mapInArrow(run, "h long, tail int, n long").groupBy("h", "tail").agg(F.sum("n").alias("n"))
+    return store.mapped(docs.select("text"), run, "h long, tail int, n long").groupBy("h", "tail").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(docs: DataFrame) -> Words:
@@ -124,7 +124,7 @@ def encoded(docs: DataFrame, words: Words) -> DataFrame:
                 ids = ids_of(sent.value, h, tail)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([ids[x:y].tobytes() for x, y in zip(first, first[1:])], pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return store.mapped(docs.select("doc_id", "text"), run, "doc_id long, ids binary")
 
 
 def start(words: Words, seed: int = 5) -> Net:
@@ -248,7 +248,7 @@ def train(rows: DataFrame, words: Words, rounds: int = ROUNDS) -> Net:
                 yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([task] * SLICES, pa.int32()), pa.array([learner.places] * SLICES, pa.int64()), pa.array([(x * learner.places).tobytes() for x in parts], pa.binary())], names=["slice", "task", "n", "x"])
 
         # two steps: the second sums what STEP groups of tasks gave
-        some = rows.mapInArrow(run, kind).withColumn("step", F.pmod("task", F.lit(STEP)))
+        some = store.mapped(rows, run, kind).withColumn("step", F.pmod("task", F.lit(STEP)))
         some = some.groupBy("slice", "step").applyInArrow(lambda t: _added(t, "step"), kind)
         parts = sorted((x["slice"], x["n"], x["x"]) for x in some.groupBy("slice").applyInArrow(lambda t: _added(t, "task"), kind).collect())  # one network
         if not parts:
@@ -292,7 +292,7 @@ def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                 mean = total / np.maximum(sizes, 1)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(total), pa.array(mean, mask=empty), pa.array(np.exp(-mean), mask=empty)], names=[x.split()[0] for x in FIELDS.split(", ")])
 
-    return rows.mapInArrow(run, FIELDS)
+    return store.mapped(rows, run, FIELDS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

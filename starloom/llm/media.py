@@ -17,10 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import textops
+from . import store, textops
 
 BLOCK = 576
 PAD = b"\xff"
+#: Samples of an image that are summed at a time.
+STRIP = 1 << 18
 
 
 def encode_pgm(payload: bytes, width: int = 24) -> bytes:
@@ -69,6 +71,9 @@ def _netpbm(data: bytes) -> np.ndarray:
         raise ValueError("netpbm: bad sizes")
     planes = 3 if kind in (b"P3", b"P6") else 1
     n = width * height * planes
+    # a sample takes a bit at least
+    if n > 8 * len(data):
+        raise ValueError("netpbm: data cut short")
     if kind in (b"P1", b"P2", b"P3"):
         body = b"\n".join(line.split(b"#", 1)[0] for line in data[at:].split(b"\n"))
         got = np.array([c - 48 for c in body if c in b"01"] if kind == b"P1" else body.split(), np.int64)
@@ -93,6 +98,8 @@ def _bmp(data: bytes) -> np.ndarray:
     if packing or bits not in (8, 24, 32) or width <= 0 or not height:
         raise ValueError(f"bmp: {bits} bits with compression {packing} is not supported")
     tall, row = abs(height), (width * bits // 8 + 3) // 4 * 4
+    if tall * row > len(data):
+        raise ValueError("bmp: data cut short")
     got = np.frombuffer(data, np.uint8, tall * row, start).reshape(tall, row)[:, : width * bits // 8]
     if bits == 8:
         colours = struct.unpack_from("<I", data, 46)[0] or 256
@@ -110,48 +117,56 @@ def decode(data: bytes) -> np.ndarray:
             return _bmp(data)
         if data[:1] == b"P" and data[1:2] in b"123456" and len(data) > 2:
             return _netpbm(data)
-    except (struct.error, IndexError) as why:
+    except (struct.error, IndexError, OverflowError) as why:
         raise ValueError(str(why)) from why
     raise ValueError("neither Netpbm nor BMP")
 
 
-def integral(pixels: np.ndarray) -> np.ndarray:
-    """Sums of all samples above and to the left, one row and column larger than the image."""
-    tall, wide = pixels.shape[:2]
-    total = np.zeros((tall + 1, wide + 1, pixels.shape[2]))
-    inner = total[1:, 1:]
-    np.cumsum(pixels, axis=1, dtype=np.float64, out=inner)
-    flat = total.reshape(tall + 1, -1)
-    np.cumsum(flat, axis=0, out=flat)
-    return total
-
-
-def _cut(table: np.ndarray, n: int) -> np.ndarray:
-    """The table's rows at n + 1 even, fractional places."""
-    size = len(table) - 1
+def integral_rows(pixels: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Some rows of the integral image: sums of all samples above each of the ascending places and to the left.
+
+    The image is read in strips, so that what is kept is a strip and the rows asked for.
+    """
+    tall, wide, planes = pixels.shape
+    out = np.zeros((len(places), wide + 1, planes))
+    above, strip = np.zeros((wide + 1, planes)), max(1, STRIP // (wide * planes))
+    for y in range(0, tall, strip):
+        part = pixels[y : y + strip]
+        total = np.zeros((len(part) + 1, wide + 1, planes))
+        np.cumsum(part, axis=1, dtype=np.float64, out=total[1:, 1:])
+        total[0] = above
+        flat = total.reshape(len(total), -1)
+        np.cumsum(flat, axis=0, out=flat)
+        i, j = np.searchsorted(places, y), np.searchsorted(places, y + len(part), side="right")
+        out[i:j] = total[places[i:j] - y]
+        above = total[-1]
+    return out
+
+
+def _places(size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n + 1 even, fractional places from 0 to size: whole parts (below size), and the rest."""
     at = np.arange(n + 1) * (size / n)
     low = np.minimum(at.astype(np.int64), size - 1)
-    part = (at - low)[:, None, None]
-    upper = table[low + 1]
-    lower = table[low]
-    upper -= lower
-    upper *= part
-    return lower + upper
-
-
-def area_resize(total: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target cell's exact area, from an integral image taken at fractional places."""
-    tall, wide = total.shape[0] - 1, total.shape[1] - 1
-    rows = _cut(total, height)
-    rows = rows[1:] - rows[:-1]
-    both = _cut(rows.swapaxes(0, 1), width)
-    cells = (both[1:] - both[:-1]).swapaxes(0, 1) * (height * width / (tall * wide))
+    return low, at - low
+
+
+def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean over each target cell's exact area, from the integral image taken at fractional places."""
+    tall, wide = pixels.shape[:2]
+    low, part = _places(tall, height)
+    need = np.unique(np.concatenate([low, low + 1]))
+    total = integral_rows(pixels, need)
+    upper, lower = total[np.searchsorted(need, low + 1)], total[np.searchsorted(need, low)]
+    rows = np.diff(lower + (upper - lower) * part[:, None, None], axis=0)
+    low, part = _places(wide, width)
+    both = rows[:, low] + (rows[:, low + 1] - rows[:, low]) * part[None, :, None]
+    cells = np.diff(both, axis=1) * (height * width / (tall * wide))
     return (cells + 0.5).astype(np.uint8)
 
 
-def difference_hash(total: np.ndarray) -> str:
+def difference_hash(pixels: np.ndarray) -> str:
     """64 bits: whether each cell of an 8 x 9 grey reduction is darker than its right neighbour."""
-    grey = area_resize(total, 8, 9)
+    grey = area_resize(pixels, 8, 9)
     grey = grey[:, :, 0] if grey.shape[2] == 1 else grey @ np.array((299, 587, 114))
     return np.packbits(grey[:, :-1] < grey[:, 1:]).tobytes().hex()
 
@@ -163,7 +178,7 @@ def npy(tile: np.ndarray) -> bytes:
     return b"\x93NUMPY\x01\x00" + struct.pack("<H", len(head)) + head.encode("latin1") + np.ascontiguousarray(tile).tobytes()
 
 
-def store(text: bytes) -> bytes:
+def as_image(text: bytes) -> bytes:
     """The text's bytes, padded, as an image whose format follows from their number of blocks."""
     payload = text + PAD * (-len(text) % BLOCK or BLOCK * (not text))
     return ENCODERS[len(payload) // BLOCK % 3](payload)
@@ -181,8 +196,7 @@ def decode_media(df: DataFrame, id_col: str, media_col: str, height: int = 16, w
                         rows.append((None,) * 6)
                         continue
                     got = decode(raw)
-                    total = integral(got)
-                    rows.append((*got.shape, npy(area_resize(total, height, width)), difference_hash(total), None))
+                    rows.append((*got.shape, npy(area_resize(got, height, width)), difference_hash(got), None))
                 except ValueError as why:
                     rows.append((None,) * 5 + (str(why)[:200],))
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())
@@ -190,7 +204,7 @@ def decode_media(df: DataFrame, id_col: str, media_col: str, height: int = 16, w
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["id", "height", "width", "planes", "tile", "dhash", "error"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("id"), df[media_col].alias("media")).mapInArrow(run, f"id {kind}, height int, width int, planes int, tile binary, dhash string, error string")
+    return store.mapped(df.select(df[id_col].alias("id"), df[media_col].alias("media")), run, f"id {kind}, height int, width int, planes int, tile binary, dhash string, error string")
 
 
 def text_media(docs: DataFrame) -> DataFrame:
@@ -201,32 +215,32 @@ def text_media(docs: DataFrame) -> DataFrame:
             texts = textops.strings(batch, "text")
             for a, b in textops.slices(texts, 8 << 20):
                 raw = [x.as_buffer().to_pybytes() for x in texts[a:b]]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([len(x) for x in raw], pa.int64()), pa.array([store(x) for x in raw], pa.large_binary()).cast(pa.binary())], names=["doc_id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([len(x) for x in raw], pa.int64()), pa.array([as_image(x) for x in raw], pa.large_binary()).cast(pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return store.mapped(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, media binary")
 
 
 FIELDS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string"
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """Stores every text, reads the stored bytes back and digests what was read."""
+    """Stores every text as an image, reads the stored bytes back and digests what was read."""
 
-    def row(media: bytes, n: int) -> tuple:
+    def row(text: bytes) -> tuple:
+        media = as_image(text)
         got = decode(media)
-        payload = got.tobytes()
-        total = integral(got)
-        tile = npy(area_resize(total, 16, 16))
-        return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(total), hashlib.sha256(tile).hexdigest()
+        payload = np.ascontiguousarray(got)
+        tile = npy(area_resize(got, 16, 16))
+        tail = zlib.crc32(payload.reshape(-1)[-32:])
+        return len(text), payload.nbytes, hashlib.sha256(payload).hexdigest(), tail, len(media), hashlib.sha256(media).hexdigest(), difference_hash(got), hashlib.sha256(tile).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, media = batch.column(1).to_pylist(), batch.column(2)
-            rows = [row(x.as_buffer().to_pybytes(), n) for x, n in zip(media, sizes)]
+            rows = [row(x.as_buffer().to_pybytes()) for x in textops.strings(batch, "text")]
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 8, kinds))], names=[f.split()[0] for f in FIELDS.split(", ")])
 
-    return text_media(docs).mapInArrow(run, FIELDS)
+    return store.mapped(docs.select("doc_id", "text"), run, FIELDS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,7 +120,7 @@ def _features(docs: DataFrame) -> DataFrame:
                 nodes = [hashlib.md5(x.as_buffer()).digest() for x in part]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(nodes, pa.binary()), pa.array([x.tobytes() for x in brief], pa.binary()), pa.array([k if s else [] for k, s in zip(keys, some)], pa.list_(pa.int64()))], names=["doc_id", "node", "sig", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, sig binary, bands array<long>")
+    return store.mapped(docs.select("doc_id", "text"), run, "doc_id long, node binary, sig binary, bands array<long>")
 
 
 def _node() -> Column:
@@ -141,7 +141,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                     counts.append(b"" if c.max(initial=1) == 1 else c[first].astype(np.uint32).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(own, pa.binary()), pa.array(counts, pa.binary())], names=["node", "x", "c"])
 
-    return docs.select("node", "text").mapInArrow(run, "node binary, x binary, c binary")
+    return store.mapped(docs.select("node", "text"), run, "node binary, x binary, c binary")
 
 
 def _joined(pairs: DataFrame, values: DataFrame, names: list[str]) -> DataFrame:
@@ -222,7 +222,7 @@ def _links(docs: DataFrame, nodes: DataFrame, close: DataFrame, least: float) ->
     wanted = store.written(ends.join(nodes.select("node", "doc_id"), "node"), "wanted").select(F.col("node").alias("w_node"), F.col("doc_id").alias("w_id"))
     texts = docs.select("doc_id", "text").withColumn("node", _node()).join(wanted.hint("merge"), (F.col("node") == F.col("w_node")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
     sets = store.written(_sets(texts).dropDuplicates(["node"]), "sets")
-    return store.written(_joined(close, sets, ["x", "c"]).mapInArrow(_verified(least), "a binary, b binary"), "links")
+    return store.written(store.mapped(_joined(close, sets, ["x", "c"]), _verified(least), "a binary, b binary"), "links")
 
 
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -230,7 +230,7 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     rows = store.written(_features(docs), "features")
     nodes = store.written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")), "nodes")
     pairs, large = candidates(nodes)
-    close = store.written(_joined(pairs, nodes, ["sig"]).mapInArrow(_alike, "a binary, b binary"), "close")
+    close = store.written(store.mapped(_joined(pairs, nodes, ["sig"]), _alike, "a binary, b binary"), "close")
     links = _links(docs, nodes, close, least)
     found = graph.components(links)
     if not large.isEmpty():

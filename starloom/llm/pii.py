@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import textops
+from . import store, textops
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
@@ -185,7 +185,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             kinds = (*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 8, kinds))], names=[f.split()[0] for f in FIELDS.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, FIELDS)
+    return store.mapped(docs.select("doc_id", "text"), run, FIELDS)
 
 
 def redact_pii(docs: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def redact_pii(docs: DataFrame) -> DataFrame:
             clean = [None if x is None else redact(x, spans(x)) for x in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(clean, batch.schema.field(at).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = store.mapped(docs, run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 

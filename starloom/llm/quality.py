@@ -50,11 +50,15 @@ def _distinct(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.array([len(np.unique(h[a:b])) for a, b in zip(first, first[1:])], np.float64)
 
 
+def _mix(part: np.ndarray) -> np.ndarray:
+    """How many bytes there are of each kind."""
+    return sum((np.bincount(_KIND[part[i : i + textops.WINDOW]], minlength=9) for i in range(0, len(part), textops.WINDOW)), np.zeros(9))
+
+
 def text_bins(col: pa.Array) -> np.ndarray:
     """Rows x TEXT_FEATURES bins."""
     buf, offsets = textops.as_bytes(col)
-    kinds = _KIND[buf]
-    made = np.array([np.bincount(kinds[a:b], minlength=9) for a, b in zip(offsets, offsets[1:])], np.float64).reshape(-1, 9)
+    made = np.array([_mix(buf[a:b]) for a, b in zip(offsets, offsets[1:])], np.float64).reshape(-1, 9)
     size = np.maximum(np.diff(offsets), 1)
     starts, ends, _ = textops.runs(buf, offsets, textops.WORD)
     first = np.searchsorted(starts, offsets)
@@ -104,7 +108,7 @@ def bins(docs: DataFrame) -> DataFrame:
                 t = text_bins(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([x.tobytes() for x in t], pa.binary()), batch.column(1)[a:b]], names=["doc_id", "t", "m"])
 
-    return docs.select("doc_id", F.array(*hashed, length).alias("m"), "text").mapInArrow(run, "doc_id long, t binary, m array<int>")
+    return store.mapped(docs.select("doc_id", F.array(*hashed, length).alias("m"), "text"), run, "doc_id long, t binary, m array<int>")
 
 
 class Model:
@@ -140,7 +144,7 @@ def _summed(rows: DataFrame, count) -> dict[tuple[int, int, int, int], int]:
                 keys, n = np.unique(np.concatenate(count(batch)), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.int32()) for k in keys.T), pa.array(n, pa.int64())], names=["v", "f", "b", "y", "n"])
 
-    got = rows.mapInArrow(run, "v int, f int, b int, y int, n long").groupBy("v", "f", "b", "y").agg(F.sum("n").alias("n"))
+    got = store.mapped(rows, run, "v int, f int, b int, y int, n long").groupBy("v", "f", "b", "y").agg(F.sum("n").alias("n"))
     return {(r["v"], r["f"], r["b"], r["y"]): r["n"] for r in got.collect()}  # 2 x features x bins at most
 
 
@@ -230,7 +234,7 @@ def scored(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFram
                 all_, a, b = (1 / (1 + np.exp(-x)) for x in (np.clip(by_text + by_meta - prior, -60, 60), by_text, by_meta))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(all_), pa.array(a), pa.array(b), pa.array((all_ >= 0.5).astype(np.int32))], names=[x.split()[0] for x in FIELDS.split(", ")])
 
-    return table.mapInArrow(run, FIELDS)
+    return store.mapped(table, run, FIELDS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,9 +73,9 @@ def sentences(col: pa.Array) -> Sentences:
     if not n:
         none = np.zeros(0, np.int64)
         return Sentences(none, none, none, none, h, buf, offsets)
-    stops = np.concatenate([[0], np.cumsum(_STOP[buf])])
+    stops = np.flatnonzero(_STOP[buf])
     new = np.ones(n, bool)
-    new[1:] = (row[1:] != row[:-1]) | (stops[starts[1:]] > stops[ends[:-1]])
+    new[1:] = (row[1:] != row[:-1]) | (np.searchsorted(stops, starts[1:]) > np.searchsorted(stops, ends[:-1]))
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, n))
     cut = np.zeros(n, bool)
@@ -100,11 +100,8 @@ def spans(s: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at, last = at[fits], last[fits]
     same = s.row[at] == s.row[last]
     at, last = at[same], last[same]
-    total = np.zeros(len(s.hashes) + 1, np.uint64)
-    np.cumsum(s.hashes * textops._powers(_MULTIPLIER, len(s.hashes)), dtype=np.uint64, out=total[1:])
-    inverse = textops._powers(pow(_MULTIPLIER, -1, 1 << 64), len(s.hashes) + 1)
     a, b = s.word[at], bounds[last + 1]
-    return textops.splitmix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64)), at, last
+    return textops.splitmix(textops.range_hashes(s.hashes, _MULTIPLIER, a, b) + (b - a).astype(np.uint64)), at, last
 
 
 def _text_key() -> Column:
@@ -124,7 +121,7 @@ def span_rows(docs: DataFrame) -> DataFrame:
                 base = np.searchsorted(s.row, row)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0)[a:b].take(pa.array(row)), batch.column(1)[a:b].take(pa.array(row)), pa.array((at - base).astype(np.int32)), pa.array((last - base).astype(np.int32))], names=["h", "doc_id", "t", "s", "e"])
 
-    return docs.select("doc_id", _text_key().alias("t"), "text").mapInArrow(run, "h long, doc_id long, t long, s int, e int")
+    return store.mapped(docs.select("doc_id", _text_key().alias("t"), "text"), run, "h long, doc_id long, t long, s int, e int")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -186,8 +183,8 @@ def removed(docs: DataFrame, report: bool = False) -> DataFrame:
                     yield part.set_column(at, part.schema.field(at), pa.array(clean, part.schema.field(at).type)).select(names)
 
     if report:
-        return rows.mapInArrow(run, "doc_id long, n_sentences long, n_removed long, removed string, text string")
-    out = rows.mapInArrow(run, docs.schema)
+        return store.mapped(rows, run, "doc_id long, n_sentences long, n_removed long, removed string, text string")
+    out = store.mapped(rows, run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
 
 

@@ -1,21 +1,19 @@
-"""Where operators cut lineage: Parquet tables in the folder that the cluster shares."""
+"""Where operators cut lineage, and how they run Python over Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
-_own: dict[str, str] = {}
+from starloom.shared import shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = _own.setdefault("dir", f"file://{tempfile.gettempdir()}/starloom-{uuid.uuid4().hex}")
-    return found.rstrip("/")
+#: Bytes of an Arrow batch that goes to Python, where the session does not say.
+BATCH_BYTES = 1 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -23,13 +21,38 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/starloom/{what}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out._written_to = path
+    return out
 
 
 def removed(*frames: DataFrame) -> None:
     """Deletes the tables behind frames that written() returned, once nothing reads them."""
     for df in frames:
-        for f in df.inputFiles()[:1]:
-            jvm = df.sparkSession._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f.rsplit("/", 1)[0])
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df; its session bounds Arrow batches by bytes from now on, if it does not yet."""
+    if df.sparkSession.conf.get(_BYTES, None) is None:
+        df.sparkSession.conf.set(_BYTES, str(BATCH_BYTES))
+    return df
+
+
+def _rest() -> None:
+    """Gives freed memory back, as workers wait for their next task for a minute."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow over batches of bounded bytes; a task leaves no memory behind in its worker."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _rest()
+
+    return bounded(df).mapInArrow(whole, schema)

@@ -1,7 +1,8 @@
 """Vectorised text primitives over Arrow string columns.
 
-Work is done on UTF-8 bytes of many rows at once, in slices of bounded size, so that a
-task holds a few megabytes of text whatever the size of its Arrow batches.
+Work is done on UTF-8 bytes of many rows at once: short rows in slices of about half a
+megabyte, and the bytes of a longer text in windows. What is kept for a whole text is a few
+numbers for each of its words, so a very long one takes some 10 bytes for each of its own.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 _BASE, _GOLDEN = 0x9FB21C651E98DF25, 0x9E3779B97F4A7C15
+#: Bytes (or words) that are worked on at a time.
+WINDOW = 1 << 18
 _tables: dict[int, np.ndarray] = {}
 
 #: Letters, digits, underscore and every byte of a non-ASCII character.
@@ -37,13 +40,15 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return z
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
+    """1, base, base**2, ... modulo 2**64; kept for the sizes of a window only."""
     got = _tables.get(base)
     if got is None or len(got) < n:
-        size = max(n, 1 << 20)
-        got = np.full(size, base, U64)
+        got = np.full(max(n, 2 * WINDOW), base, U64)
         got[0] = 1
-        _tables[base] = got = np.cumprod(got, dtype=U64)
+        got = np.cumprod(got, dtype=U64)
+        if len(got) <= 2 * WINDOW:
+            _tables[base] = got
     return got[:n]
 
 
@@ -73,31 +78,57 @@ def as_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def runs(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each maximal run of bytes of the kind; no run crosses rows."""
-    inside = kind[buf]
-    if not len(inside):
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    before = np.zeros(len(inside), bool)
-    before[1:] = inside[:-1]
-    first = offsets[:-1]
-    before[first[first < len(inside)]] = False
-    starts = np.flatnonzero(inside & ~before)
-    after = np.zeros(len(inside), bool)
-    after[:-1] = inside[1:]
-    last = offsets[1:] - 1
-    after[last[last >= 0]] = False
-    ends = np.flatnonzero(inside & ~after) + 1
-    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+    n = len(buf)
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for w in range(0, n, WINDOW):
+        z = min(n, w + WINDOW)
+        inside = kind[buf[w:z]]
+        opens, closes = inside.copy(), inside.copy()
+        opens[1:] &= ~inside[:-1]
+        closes[:-1] &= ~inside[1:]
+        opens[0] &= not (w and kind[buf[w - 1]])
+        closes[-1] &= not (z < n and kind[buf[z]])
+        i, j = np.searchsorted(offsets, (w, z))
+        first = offsets[i:j] - w
+        opens[first] = inside[first]
+        i, j = np.searchsorted(offsets, (w + 1, z + 1))
+        last = offsets[i:j] - 1 - w
+        closes[last] = inside[last]
+        starts.append(np.flatnonzero(opens) + w)
+        ends.append(np.flatnonzero(closes) + w + 1)
+    start = np.concatenate(starts)
+    return start, np.concatenate(ends), np.searchsorted(offsets, start, side="right") - 1
 
 
 def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, the same wherever the span stands."""
-    n = len(buf)
-    total = np.zeros(n + 1, U64)
-    np.cumsum((buf.astype(U64) + U64(1)) * _powers(_BASE, n), dtype=U64, out=total[1:])
-    inverse = _powers(pow(_BASE, -1, 1 << 64), n + 1)
-    value = (total[ends] - total[starts]) * inverse[starts]
-    return splitmix(value + (ends - starts).astype(U64) * U64(_GOLDEN))
+    """A 64-bit hash of the bytes of each of some ascending, disjoint spans, the same wherever it stands."""
+    out = np.zeros(len(starts), U64)
+    up, down = powers(_BASE, WINDOW), powers(pow(_BASE, -1, 1 << 64), WINDOW + 1)
+    for w in range(0, len(buf), WINDOW):
+        z = min(len(buf), w + WINDOW)
+        i, j = np.searchsorted(ends, w, side="right"), np.searchsorted(starts, z)
+        if i >= j:
+            continue
+        total = np.zeros(z - w + 1, U64)
+        np.cumsum((buf[w:z].astype(U64) + U64(1)) * up[: z - w], dtype=U64, out=total[1:])
+        a, b = np.maximum(starts[i:j] - w, 0), np.minimum(ends[i:j], z) - w
+        value = (total[b] - total[a]) * down[a]
+        if starts[i] < w:  # what stands in this window of a span that began before it
+            value[:1] *= U64(pow(_BASE, int(w - starts[i]), 1 << 64))
+        out[i:j] += value
+    return splitmix(out + (ends - starts).astype(U64) * U64(_GOLDEN))
+
+
+def range_hashes(values: np.ndarray, base: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A polynomial hash of values[a:b] for each pair, a ascending; ranges may overlap."""
+    out = np.zeros(len(a), U64)
+    for i in range(0, len(a), WINDOW):
+        x, y = a[i : i + WINDOW], b[i : i + WINDOW]
+        low, high = int(x[0]), int(y.max())
+        total = np.zeros(high - low + 1, U64)
+        np.cumsum(values[low:high] * powers(base, high - low), dtype=U64, out=total[1:])
+        out[i : i + WINDOW] = (total[y - low] - total[x - low]) * powers(pow(base, -1, 1 << 64), high - low + 1)[x - low]
+    return out
 
 
 def words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -6,15 +6,17 @@ and of pairs with one word skipped. Training is online, with a learning rate for
 coordinate and L1 sparsity, so that the weights are a small sparse vector that every task
 gets as a broadcast of at most 12 bytes for each of its places.
 
-Training reads at most MAX_POSITIVE and MAX_NEGATIVE labelled rows, chosen by a hash of
-their ids among those allowed; a document of more than MAX_FEATURES distinct features is
-scored but not learnt from. The intercept is corrected to the share of positives among
-all allowed labels. Every document is scored over its whole text.
+Training reads a bounded sample of labelled rows: at most MAX_POSITIVE and MAX_NEGATIVE,
+chosen by a hash of their ids among those allowed, and in the order of that hash no more
+once they hold MAX_PLACES features in all (4 bytes each; the row that reaches the bound is
+the last). Online learning is a sequence, so one task does it; only the compact weights come
+to the driver. The intercept is corrected to the share of positives among all allowed
+labels. Every document is scored over its whole text.
 
 Defined results: a null or empty text has no features and gets the intercept's score;
 labels other than 0 and 1, or of unknown documents, are ignored, and repeated ones count
 as often as they occur; without labels of both kinds all scores are the positives' share
-(0.5 without any label); repeated rows give repeated results; further columns do not take part.
+(0.5 without any label); a null doc_id has no label and is not held out; repeated rows give repeated results; further columns do not take part.
 """
 
 from __future__ import annotations
@@ -27,12 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import textops
+from . import store, textops
 
 BITS = 20
-MAX_POSITIVE, MAX_NEGATIVE, MAX_FEATURES = 3000, 5000, 50_000
+MAX_POSITIVE, MAX_NEGATIVE, MAX_PLACES = 3000, 5000, 1 << 25
 #: Chosen on one half of the rows that may be learnt from, fitted on the other.
-ALPHA, BETA, L1, L2, EPOCHS = 3.0, 1.0, 16.0, 1.0, 10
+ALPHA, BETA, L1, L2, EPOCHS = 3.0, 1.0, 8.0, 1.0, 10
 THRESHOLD = 0.7
 STEMS = (4, 6)
 
@@ -116,20 +118,34 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None) ->
         for batch in batches:
             texts = textops.strings(batch, "text")
             for a, b in textops.slices(texts):
-                found = features(texts[a:b])
-                kept = [i for i, x in enumerate(found) if len(x) <= MAX_FEATURES]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].take(kept), batch.column(1)[a:b].take(kept), pa.array([found[i].tobytes() for i in kept], pa.binary())], names=["doc_id", "toxic", "at"])
-
-    chosen = F.broadcast(drawn[0].unionByName(drawn[1]))  # MAX_POSITIVE + MAX_NEGATIVE rows at most
-    table = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", F.col("toxic").cast("int"), "text")
-    rows = table.mapInArrow(run, "doc_id long, toxic int, at binary").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    y = np.asarray(rows.column("toxic").combine_chunks(), np.float64) if rows.num_rows else np.zeros(0)
+                at = [x.tobytes() for x in features(texts[a:b])]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], batch.column(2)[a:b], pa.array(at, pa.binary())], names=["doc_id", "toxic", "h", "at"])
+
+    chosen = F.broadcast(drawn[0].unionByName(drawn[1]).withColumn("h", order))  # MAX_POSITIVE + MAX_NEGATIVE rows at most
+    table = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", F.col("toxic").cast("int"), "h", "text")
+    rows = store.mapped(table, run, "doc_id long, toxic int, h long, at binary")
+    found = rows.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_learnt, "n0 long, n1 long, bias double, at binary, w binary").first()
     share = (counts.get(1, 0) + 0.5) / (counts.get(0, 0) + counts.get(1, 0) + 1)
     prior = float(np.log(share / (1 - share)))
-    if not 0 < y.sum() < len(y):
+    if not found or not found["n0"] or not found["n1"]:
         return prior, np.zeros(0, np.int32), np.zeros(0)
-    bias, at, w = fit([np.frombuffer(x.as_py(), np.int32) for x in rows.column("at")], y)
-    return bias + prior - float(np.log(y.sum() / (len(y) - y.sum()))), at, w
+    bias = found["bias"] + prior - float(np.log(found["n1"] / found["n0"]))
+    return bias, np.frombuffer(found["at"], np.int32), np.frombuffer(found["w"], np.float64)
+
+
+def _learnt(rows: pa.Table) -> pa.Table:
+    """One row: numbers of rows of either label that were learnt, intercept, places and weights."""
+    rows = rows.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("toxic", "ascending")])
+    samples, y, held = [], [], 0
+    for x, label in zip(rows.column("at"), rows.column("toxic").to_pylist()):
+        if held >= MAX_PLACES:
+            break
+        samples.append(np.frombuffer(x.as_buffer(), np.int32))
+        y.append(label)
+        held += len(samples[-1])
+    n1 = sum(y)
+    bias, at, w = fit(samples, np.array(y, np.float64)) if 0 < n1 < len(y) else (0.0, np.zeros(0, np.int32), np.zeros(0))
+    return pa.table({"n0": [len(y) - n1], "n1": [n1], "bias": [bias], "at": pa.array([at.tobytes()], pa.binary()), "w": pa.array([w.tobytes()], pa.binary())})
 
 
 def scored(docs: DataFrame, weights: Weights, keep: bool = False, below: float | None = None) -> DataFrame:
@@ -150,8 +166,8 @@ def scored(docs: DataFrame, weights: Weights, keep: bool = False, below: float |
                 yield part if below is None else part.filter(pa.array(got < below))
 
     if keep:
-        return docs.mapInArrow(run, docs.schema)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+        return store.mapped(docs, run, docs.schema)
+    return store.mapped(docs.select("doc_id", "text"), run, "doc_id long, score double")
 
 
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -162,4 +178,4 @@ def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     weights = train(docs, labels, _digit(F.col("doc_id")) != 1)
-    return scored(docs, weights).select("doc_id", (_digit(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored(docs, weights).select("doc_id", F.coalesce(_digit(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

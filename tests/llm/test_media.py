@@ -48,12 +48,34 @@ def test_other_netpbm():
 
 def test_area_resize_is_the_mean_over_areas():
     pixels = np.random.default_rng(2).integers(0, 256, (12, 18, 3), np.uint8)
-    got = media.area_resize(media.integral(pixels), 4, 6)
+    got = media.area_resize(pixels, 4, 6)
     want = pixels.reshape(4, 3, 6, 3, 3).mean(axis=(1, 3))
     assert np.abs(got - want).max() <= 0.5
     # fractional cells: every pixel repeated, then averaged
     big = pixels.repeat(5, axis=0).repeat(7, axis=1).reshape(5, 12, 7, 18, 3).mean(axis=(1, 3))
-    assert np.abs(media.area_resize(media.integral(pixels), 5, 7) - big).max() <= 0.5001
+    assert np.abs(media.area_resize(pixels, 5, 7) - big).max() <= 0.5001
+
+
+def test_strips_give_the_same_image(monkeypatch):
+    pixels = np.random.default_rng(4).integers(0, 256, (101, 24, 3), np.uint8)
+    want = media.area_resize(pixels, 16, 16), media.difference_hash(pixels)
+    monkeypatch.setattr(media, "STRIP", 200)
+    assert (media.area_resize(pixels, 16, 16) == want[0]).all() and media.difference_hash(pixels) == want[1]
+
+
+def test_difference_hash_by_hand():
+    # each row of 9 cells grows to the right, but the last row falls
+    grid = np.tile(np.arange(9, dtype=np.uint8) * 20, (8, 1))
+    grid[7] = grid[7, ::-1]
+    assert media.difference_hash(grid.repeat(2, axis=0).repeat(3, axis=1)[:, :, None]) == "ff" * 7 + "00"
+
+
+@pytest.mark.parametrize("bad", [b"P5 99999999999999999999 2 255\n", b"P4 4000000000 4000000000\n", b"P2 1 1 255\n99999999999999999999999", b"P6 1 1 70000\n", b"BM" + b"\xff" * 60, b"BM" + bytes(52), b"P5 2 2 x\n"])
+def test_bad_sizes_are_errors_of_their_rows(spark, bad):
+    with pytest.raises(ValueError):
+        media.decode(bad)
+    df = spark.createDataFrame([(1, bad), (None, None)], "id long, media binary")
+    assert {r["id"]: bool(r["error"]) for r in media.decode_media(df, "id", "media").collect()} == {1: True, None: False}
 
 
 def test_tiles(spark):

@@ -51,7 +51,28 @@ def test_the_mix_holds_what_was_taken(make_docs):
         got[r["doc_id"]] += len(WORDS.findall(r["text"] or ""))
         assert (texts[r["doc_id"]] or "").startswith(r["text"] or "") and r["n_chars"] == (None if r["text"] is None else len(r["text"]))
     assert {i: n for i, n in got.items() if n} == {i: n for i, n in taken.items() if n}
-    assert {r["shard"] for r in rows} <= set(range(4)) and len({(r["doc_id"], r["copy"]) for r in rows}) == len(rows)
+    assert {r["mix_shard"] for r in rows} <= set(range(4)) and len({(r["doc_id"], r["mix_copy"]) for r in rows}) == len(rows)
+
+
+def test_a_draw_that_no_shard_owns_is_not_taken():
+    made = mixing.Plan(["a"], np.array([20]), np.array([30.0]), np.array([4]), np.array([1]), np.array([2]), [(0.7, 3, 5)], np.array([0]), np.array([[0, 3, 7]]), 2)
+    u, size = np.array([0.1, 0.3, 0.6, 0.8]), np.full(4, 5)
+    got = mixing.draws(made, np.zeros(4, np.int64), u, np.arange(4), size)
+    # one document in each block: draws 0 and 4, 1 and 5, 2 and (before the cut in the edge block) 6, 3
+    rows = list(zip(*(x.tolist() for x in got)))
+    assert rows == [(0, 0, 5, 0), (0, 1, 5, 1), (1, 0, 5, 0), (1, 1, 5, 1), (2, 0, 5, 0), (2, 1, 5, 1), (3, 0, 5, 1)]
+    short = made._replace(offsets=np.array([[0, 3, 6]]))
+    assert mixing.draws(short, np.zeros(4, np.int64), u, np.arange(4), size).words.sum() == got.words.sum() - 5
+
+
+def test_clashing_names(make_docs):
+    docs = make_docs(["a b", "c"], ["s", "t"])
+    for c in ("copy", "words", "shard", "size", "position", "mix_shard", "p_u", "u"):
+        docs = docs.withColumn(c, F.lit("kept"))
+    rows = mixing.mixed(docs).collect()
+    assert rows and all(r[c] == "kept" for r in rows for c in ("copy", "words", "shard", "size", "position", "mix_shard", "p_u", "u"))
+    assert {"_mix_shard", "_mix_copy"} <= set(mixing.mixed(docs).columns)
+    assert mixing.taken(docs).count() == 2
 
 
 def test_split_is_exact():

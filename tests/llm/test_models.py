@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from starloom.llm import masked, quality, toxicity
 
 SF = "/root/testdata/sf0.01"
-#: Held-out toxic documents are few in smaller tables.
 LARGE = "/root/testdata/sf0.1"
 
 
@@ -24,14 +23,16 @@ def auc(scores, y):
     return (order[pos].sum() - pos.sum() * (pos.sum() - 1) / 2) / (pos.sum() * (~pos).sum())
 
 
-def test_toxicity_held_out(spark):
-    docs, labels = (spark.read.parquet(f"{LARGE}/{t}.parquet") for t in ("documents", "labels"))
-    rows = {r["doc_id"]: r for r in toxicity.query(spark, LARGE).collect()}
+@pytest.mark.parametrize("sf", [SF, LARGE])
+def test_toxicity_held_out(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = {r["doc_id"]: r for r in toxicity.query(spark, sf).collect()}
     assert len(rows) == docs.count()
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for i, r in rows.items())
     held = [(rows[r["doc_id"]], r["toxic"]) for r in labels.collect() if rows[r["doc_id"]]["held_out"]]
     y = np.array([t for _, t in held])
-    assert auc(np.array([r["score"] for r, _ in held]), y) > 0.95
+    # the smaller table has some 30 toxic documents to learn from
+    assert auc(np.array([r["score"] for r, _ in held]), y) > (0.95 if sf == LARGE else 0.9)
     assert np.mean([r["predicted"] == t for r, t in held]) > 0.9
     clean = [r["predicted"] for r, t in held if t == 0]
     assert np.mean(clean) < 0.03
@@ -58,6 +59,33 @@ def test_toxicity_edges(spark, make_docs):
     assert toxicity.kept(docs.limit(0), labels).count() == 0
 
 
+def test_ftrl_steps_by_hand(monkeypatch):
+    """The proximal steps of two coordinates, one sample after another, in plain Python."""
+    monkeypatch.setattr(toxicity, "L1", 0.05)
+    monkeypatch.setattr(toxicity, "EPOCHS", 3)
+    samples, y = [np.array([3], np.int32), np.array([3, 8], np.int32), np.array([8], np.int32)], np.array([1.0, 0.0, 0.0])
+    z, n, b, bn = {3: 0.0, 8: 0.0}, {3: 0.0, 8: 0.0}, 0.0, 0.0
+
+    def weight(j):
+        if abs(z[j]) <= 0.05:
+            return 0.0
+        return -(z[j] - 0.05 * (1 if z[j] > 0 else -1)) / ((toxicity.BETA + n[j] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(3):
+        for i in order.permutation(3):
+            w = {j: weight(j) for j in samples[i].tolist()}
+            g = 1 / (1 + np.exp(-(b + sum(w.values())))) - y[i]
+            for j, wj in w.items():
+                sigma = ((n[j] + g * g) ** 0.5 - n[j] ** 0.5) / toxicity.ALPHA
+                z[j] += g - sigma * wj
+                n[j] += g * g
+            bn += g * g
+            b -= toxicity.ALPHA / (toxicity.BETA + bn**0.5) * g
+    bias, at, w = toxicity.fit(samples, y)
+    assert bias == pytest.approx(b) and dict(zip(at.tolist(), w)) == pytest.approx({j: weight(j) for j in z if weight(j)})
+
+
 def test_score_equals_dense_sum():
     rng = np.random.default_rng(0)
     dense = np.where(rng.random(1 << toxicity.BITS) < 0.5, rng.normal(size=1 << toxicity.BITS), 0.0)
