@@ -11,10 +11,12 @@ _fallback: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
+    """spark.checkpoint.dir; a folder of our own only where that is unset and all is one machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _fallback:
         _fallback.append(f"file://{tempfile.gettempdir()}/starloom-tables-{uuid.uuid4().hex}")
     return _fallback[0]
