@@ -1,25 +1,30 @@
 """Op 3. Exact top-k inner products by no-random-access aggregation of sorted lists.
 
-Candidates are dealt into groups. In a group every dimension has a list of its vectors by
-component. A query reads all lists from the end that its own component favours, a step of
-entries at a time, and knows for every vector a lower bound (what it has read of it, the
-list's far end for the rest) and an upper bound (the place it reads at for the rest).
-Reading stops when no vector outside the current best k can reach their lower bounds, or
-the best of earlier blocks; the scores of those that remain are then resolved.
-
-Queries and candidates meet in tiles of one block of each, dealt by the tile's number: a
-stated query set against all rows. Each tile returns k rows a query, which are merged by a
-ranking that keeps k rows before it shuffles.
+Vectors stay where they are; each task takes its own in blocks. In a block every dimension
+has a list of its vectors by component. A query reads all lists in step, from the end that
+its own component favours, and knows for every vector an upper bound (what has been read of
+it, and the place it reads at for the rest) and a lower bound (what has been read, and the
+list's far end for the rest). A vector is out once its upper bound is below the k-th best
+lower bound of the block, or the k-th best score of the blocks before. A query stops reading
+when no more than RESOLVE x k vectors are left; their scores are then resolved. Queries whose
+depth is the same read together: their bounds are products of matrices, of the vectors as
+far as they have been met.
+
+The queries are a stated set against all rows. They go to the tasks in broadcasts of at most
+QUERY_BYTES, one pass over the vectors for each. A task returns k rows a query, and these
+are merged by a ranking that keeps k rows before it shuffles.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component take
 no part; a product of two lengths is that over the shorter, as in ORACLE (the shorter ones
-are filled up with zeros to the longest of the table); a null id takes no part; equal scores rank by smaller id; repeated rows of an id count once each
-as candidates, but never for the query of their own id; an empty table gives an empty result.
+are filled up with zeros to the longest of the table); a null id takes no part; equal scores
+rank by smaller id; repeated rows of an id count once each as candidates, but never for the
+query of their own id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +35,13 @@ from pyspark.sql import window as W
 from . import store
 
 SCALE, EVERY, K = 256, 50, 5
-CANDIDATES, QUERIES, BLOCK = 1 << 14, 1 << 9, 1 << 11
+#: Vectors of the first block of a task (which has no scores to beat yet) and of the others; queries that read together.
+FIRST, BLOCK, TOGETHER = 1 << 8, 1 << 11, 1 << 8
+#: Steps in which a list is read, and how many times k vectors are left to resolve.
+STEPS, RESOLVE = 8, 16
+QUERY_BYTES = 1 << 24
+#: Vectors a task should have where there are few: smaller tables are dealt over all cores.
+FEW = 1 << 14
 
 
 def scaled(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -43,99 +54,141 @@ def scaled(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 class Lists:
-    """The sorted lists of one block of vectors: by dimension, read from either end.
-
-    All queries of a tile read the first half of their lists together: what stands in a list
-    before the reading position is laid out by vector (nothing where a vector has not been
-    met), so that the bounds of all vectors for all queries are products of matrices.
-    """
+    """The sorted lists of one block of vectors: by dimension, read from either end."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.values = ids, vectors
-        self.ordered = np.sort(vectors, axis=0)
-        n = len(ids)
-        self.half = max(1, n // 2)
-        self.top, self.low = self.ordered[n - self.half], self.ordered[self.half - 1]
-
-    def bounds(self, queries: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray | None]:
-        """Upper and, if asked for, lower bounds (queries x vectors) after half of each list."""
+        self.ids, self.values, self.ordered = ids, vectors, np.sort(vectors, axis=0)
+
+    def bounds(self, depth: int, queries: np.ndarray, at: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """Upper and, if asked for, lower bounds (queries x vectors at) with `depth` entries of each list read."""
+        n, met = len(self.ids), self.values[at]
+        top, low = self.ordered[n - depth], self.ordered[depth - 1]
         plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-        # met: the value itself; not met: no better than the reading position, no worse than the list's end
-        upper = plus @ np.maximum(self.values, self.top).T + minus @ np.minimum(self.values, self.low).T
+        # an entry that has not been read is no better than the place that is read, and no worse than the list's end
+        upper = plus @ np.maximum(met, top).T + minus @ np.minimum(met, low).T
         if not lower:
             return upper, None
-        met_top, met_low = self.values >= self.top, self.values <= self.low
-        return upper, plus @ np.where(met_top, self.values, self.ordered[0]).T + minus @ np.where(met_low, self.values, self.ordered[-1]).T
+        return upper, plus @ np.where(met >= top, met, self.ordered[0]).T + minus @ np.where(met <= low, met, self.ordered[-1]).T
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, least: np.ndarray, slack: float = 0.0) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each query the vectors that are left when it stops reading, and the depth at which it does.
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each query the k best ids and scores, by score and then id, of all that may reach its `least`."""
+        least: the score that the k-th best of other blocks has, -inf if there are fewer.
+        """
         n = len(self.ids)
-        open_ = bool((least == -np.inf).any()) and n > k
-        upper, lower = self.bounds(queries, open_)
-        bar = least
-        if open_:
-            lower[self.ids[None] == own[:, None]] = -np.inf
-            bar = np.maximum(least, np.partition(lower, n - k, axis=1)[:, n - k])
-        for i, q in enumerate(queries):
-            alive = np.flatnonzero(upper[i] >= bar[i])
-            alive = alive[self.ids[alive] != own[i]]
-            yield self._resolved(q, alive, k, float(bar[i]))
-
-    def _resolved(self, q: np.ndarray, alive: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        n, depth = len(self.ids), self.half
-        far = np.where(q >= 0, self.ordered[0], self.ordered[-1]) * q
-        while depth < n and len(alive) > max(4 * k, n // 16):
-            # read on; entries of those that are out no longer matter
-            depth = min(n, depth + max(1, n // 8))
-            near = np.where(q >= 0, self.ordered[n - depth], self.ordered[depth - 1]) * q
-            value = self.values[alive] * q
-            low, high = np.where(value >= near, value, far).sum(axis=1), np.maximum(value, near).sum(axis=1)
-            # no outsider can qualify once its upper bound is below the k-th best lower bound
-            least = max(least, float(np.partition(low, len(low) - k)[len(low) - k]))
-            alive = alive[high >= least]
-        score = (self.values[alive] @ q).astype(np.int64)
-        keep = np.lexsort((self.ids[alive], -score))[:k]
-        return self.ids[alive][keep], score[keep]
-
-
-def _tile(key: tuple, queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
-    empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-    if not queries.num_rows or not candidates.num_rows:
-        return empty
-
-    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        v = t.column("v").combine_chunks()
-        return t.column("id").to_numpy(), v.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
-
-    (qid, q), (cid, c) = matrix(queries), matrix(candidates)
-    # sums of integers below 2**24 are exact in 32 bits
-    if q.shape[1] * np.abs(q).max() * np.abs(c).max() < 1 << 24:
-        q, c = q.astype(np.float32), c.astype(np.float32)
-    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in qid]
-    for a in range(0, len(cid), BLOCK):
-        lists = Lists(cid[a : a + BLOCK], c[a : a + BLOCK])
-        least = np.array([float(s[k - 1]) if len(s) >= k else -np.inf for _, s in found])
-        for i, (more, got) in enumerate(lists.search(q, qid, k, least)):
-            ids, scores = np.concatenate([found[i][0], more]), np.concatenate([found[i][1], got])
-            best = np.lexsort((ids, -scores))[:k]
-            found[i] = ids[best], scores[best]
-    sizes = [len(x) for x, _ in found]
-    return pa.table({"query_id": np.repeat(qid, sizes), "vec_id": np.concatenate([x for x, _ in found]), "score": np.concatenate([x for _, x in found])})
-
-
-def topk(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score for each row where is_query (a Column of id_col) holds."""
-    rows = store.written(scaled(vectors, id_col, vector_col), "vectors")
-    longest = rows.agg(F.max(F.size("v"))).first()[0]
-    if longest:
-        rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(longest) - F.size("v"))))
+        left: list[np.ndarray] = [np.flatnonzero(self.ids != i) for i in own]
+        stop, reading, bar = np.zeros(len(queries), np.int64), np.ones(len(queries), bool), least.astype(np.float64).copy()
+        for step in range(1, STEPS + 1):
+            for i in np.flatnonzero(reading).tolist():
+                reading[i] = len(left[i]) > RESOLVE * k
+            open_ = np.flatnonzero(reading)
+            if not len(open_):
+                break
+            depth = max(1, n * step // STEPS)
+            stop[open_] = depth
+            some = np.zeros(n, bool)
+            for i in open_:
+                some[left[i]] = True
+            at = np.flatnonzero(some)
+            first = bool((least[open_] == -np.inf).any())
+            upper, lower = self.bounds(depth, queries[open_], at, first)
+            for j, i in enumerate(open_.tolist()):
+                mine = np.searchsorted(at, left[i])
+                if first and len(mine) >= k:
+                    bar[i] = max(bar[i], np.partition(lower[j, mine], len(mine) - k)[len(mine) - k])
+                left[i] = left[i][upper[j, mine] >= bar[i] - slack]
+        return left, stop
+
+
+class Best:
+    """The k best vectors that a task has found for each query."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.query_ids, self.queries, self.k = ids, vectors, k
+        self.ids = [np.zeros(0, np.int64) for _ in ids]
+        self.scores = [np.zeros(0, np.int64) for _ in ids]
+        self.least = np.full(len(ids), -np.inf)
+        self.read, self.held = np.zeros(len(ids), np.int64), 0
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Searches a block of integer vectors."""
+        self.held += len(ids)
+        most = float(vectors.shape[1]) * float(np.abs(self.queries).max(initial=0)) * float(np.abs(vectors).max(initial=0))
+        # sums of integers below 2**24 are exact in 32 bits, and below 2**53 in 64
+        kind = np.float32 if most < 1 << 24 else np.float64
+        lists, queries = Lists(ids, vectors.astype(kind)), self.queries.astype(kind)
+        for a in range(0, len(queries), TOGETHER):
+            z = a + TOGETHER
+            left, stop = lists.search(queries[a:z], self.query_ids[a:z], self.k, self.least[a:z], 0.0 if most < 1 << 53 else most * 2.0**-48)
+            self.read[a:z] += stop
+            for i, at in enumerate(left, a):
+                self._keep(i, ids[at], vectors[at] @ self.queries[i])
+
+    def _keep(self, i: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        ids, scores = np.concatenate([self.ids[i], ids]), np.concatenate([self.scores[i], scores])
+        order = np.lexsort((ids, -scores))[: self.k]
+        self.ids[i], self.scores[i] = ids[order], scores[order]
+        if len(order) == self.k:
+            self.least[i] = scores[order[-1]]
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, width)
+
+
+def topk(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, report: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score for each row where is_query (a Column of id_col) holds.
+
+    report: instead query_id, how many list entries it has read, and how many there are, over all dimensions.
+    """
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    rows = scaled(vectors, id_col, vector_col)
+    if vectors.count() < cores * FEW:
+        rows = rows.repartition(cores)
+    rows = store.written(rows, "vectors")
+    width = rows.agg(F.max(F.size("v"))).first()[0] or 1
+    rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v"))))
     asked = rows.filter(is_query(F.col("id")))
-    groups, blocks = max(1, -(-rows.count() // CANDIDATES)), max(1, -(-asked.count() // QUERIES))
-    left = asked.withColumn("b", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks))).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = rows.withColumn("g", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(groups)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInArrow(lambda key, x, y: _tile(key, x, y, k), "query_id long, vec_id long, score long")
+    passes = max(1, -(-asked.count() * width * 8 // QUERY_BYTES))
+    asked = store.written(asked.withColumn("pass", F.pmod(F.monotonically_increasing_id(), F.lit(passes))), "queries")
+    found = reduce(DataFrame.unionByName, (_one_pass(rows, asked.filter(F.col("pass") == p), width, k) for p in range(passes)))
+    if report:
+        return found.groupBy("query_id").agg((F.sum("read") * width).alias("read"), (F.sum("held") * width).alias("held"))
     rank = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.filter("vec_id IS NOT NULL").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _one_pass(rows: DataFrame, asked: DataFrame, width: int, k: int) -> DataFrame:
+    """Each task's best for the queries asked (QUERY_BYTES at most); a first row for each query holds what it has read."""
+    given = asked.select("id", "v").orderBy("id").toArrow()
+    sent = rows.sparkSession.sparkContext.broadcast((np.asarray(given.column("id").combine_chunks(), np.int64), _matrix(given.column("v").combine_chunks(), width)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, held, size = Best(*sent.value, k), [], FIRST
+        if not len(best.query_ids):
+            return
+        for batch in batches:
+            for a in range(0, len(batch), FIRST):
+                held.append(batch.slice(a, FIRST))
+                if sum(map(len, held)) >= size:
+                    _add(best, held, width)
+                    held, size = [], BLOCK
+        if held:
+            _add(best, held, width)
+        n = len(best.query_ids)
+        sizes = [len(x) for x in best.ids]
+        none = pa.nulls(n, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(best.query_ids), none, none, pa.array(best.read), pa.array(np.full(n, best.held))], names=["query_id", "vec_id", "score", "read", "held"])
+        zero = pa.array(np.zeros(sum(sizes), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(best.query_ids, sizes)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores)), zero, zero], names=["query_id", "vec_id", "score", "read", "held"])
+
+    return store.mapped(rows, run, "query_id long, vec_id long, score long, read long, held long")
+
+
+def _add(best: Best, held: list[pa.RecordBatch], width: int) -> None:
+    block = pa.Table.from_batches(held).combine_chunks()
+    if len(block):
+        best.add(np.asarray(block.column("id").combine_chunks(), np.int64), _matrix(block.column("v").combine_chunks(), width))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
