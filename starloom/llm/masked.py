@@ -1,68 +1,95 @@
 """Op 6. Masked pseudo-likelihood of a bidirectional window network.
 
 A token is a lower-cased word. The network sees the SIDE tokens on either side of a place,
-never the token itself: tanh(sum of their embeddings by place) and a softmax over classes;
-a token's probability is its class's times its share in the class. The SINGLES most
-frequent words are classes of their own; the others fall in classes by the hash of their
-last two bytes. In a class, each of the VOCABULARY most frequent words has its share of the
-class's tokens, and all rarer words of the class divide their joint share evenly. Word
-counts, class counts and numbers of word types are of the whole corpus. A document's score
-is the sum of log P(token | both sides) over all its tokens.
-
-Training (numpy): in every round each task starts from the current network, learns one in
-EVERY places of all its documents by Adagrad, and its parameters are averaged with those of
-all other tasks, weighted by places. Round r learns places r, r + EVERY, ..., so EVERY
-rounds learn every place once. Parameters travel in slices that are summed in two
-steps, so no task and not the driver holds more than one network and one step's share.
+never the token itself: tanh of the sum of their embeddings by place. It predicts the token
+in two softmaxes, of its class and of the word in the class, both learnt and both seeing the
+context. The vocabulary is the most frequent words, twice the square root of the number of
+distinct words of the corpus (LEAST_WORDS to MOST_WORDS): the HEAD most frequent in classes
+of HEAD_SIZE, the others in about as many classes as half a class has words. All other words
+are of TAILS classes by the hash of their last two bytes, and divide their class evenly.
+Word counts are of the whole corpus. A document's score is the sum of
+log P(token | both sides) over all its tokens.
+
+Training (numpy): documents are dealt by a hash of id and text to shards, whose number
+follows the corpus, and lie in a shard by that hash. In every round each shard starts from
+the current network and learns by Adagrad one place in ROUNDS of all its documents, each
+place in one round; the networks of all shards are averaged, weighted by places. Parameters
+travel in slices that are summed in two steps, so no task and not the driver holds more than
+one network and one step's share. What is learnt does not depend on how Spark cuts the
+input, nor on the order of its rows; scores then differ by the rounding of sums at most.
 
 Defined results: a null or text without words has no tokens, log_prob 0 and null perplexity;
-repeated rows give repeated results; an empty table gives an empty result; further columns
-do not take part. Scores repeat as long as Spark cuts the input in the same way.
+a null doc_id is a row like others; repeated rows give repeated results; an empty table
+gives an empty result; further columns do not take part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store, textops
 
-VOCABULARY, SINGLES, TAILS, SIDE, HIDDEN = 4096, 32, 32, 2, 16
-CLASSES = SINGLES + TAILS
-PAD = VOCABULARY + TAILS
-ROUNDS, EVERY, BATCH, RATE = 8, 8, 512, 0.15
+LEAST_WORDS, MOST_WORDS, TAILS = 1024, 1 << 15, 16
+HEAD, HEAD_SIZE = 256, 32
+SIDE, HIDDEN = 2, 16
+ROUNDS, BATCH, RATE = 4, 1 << 13, 0.2
+#: Tokens that are laid out at a time; tokens of a shard, and shards at least; slices of a network and shards summed together.
+LOT, SHARD_TOKENS, MIN_SHARDS = 1 << 15, 1 << 24, 24
 SLICES, STEP = 32, 64
 _OFFSETS = [d for d in range(-SIDE, SIDE + 1) if d]
 
 
-class Net(NamedTuple):
-    """Embeddings by place, hidden bias, output weights and bias."""
+class Tier(NamedTuple):
+    """Words of neighbouring ids in classes of equal size: the first id and class, and how many there are."""
 
-    e: np.ndarray
-    b: np.ndarray
-    u: np.ndarray
-    c: np.ndarray
+    word: int
+    words: int
+    klass: int
+    classes: int
+    size: int
 
 
 class Words(NamedTuple):
-    """The vocabulary: hashes ascending, their ids; by id the class and log share in it; class counts."""
+    """The vocabulary: hashes ascending and their ids, which are ranks by frequency.
+
+    Ids from `known` on are the TAILS, and `pad` stands beside a text. By id: class, place in
+    the class, and log share (of a tail's single words; 0 for words). Counts by id, for the start.
+    """
 
     h: np.ndarray
     ids: np.ndarray
+    known: int
+    pad: int
+    tiers: tuple[Tier, ...]
     klass: np.ndarray
+    member: np.ndarray
     share: np.ndarray
     counts: np.ndarray
 
 
+class Net(NamedTuple):
+    """Embeddings by place, hidden bias; weights and bias of classes, and of words in each tier's classes."""
+
+    e: np.ndarray
+    b: np.ndarray
+    u: np.ndarray
+    c: np.ndarray
+    u0: np.ndarray
+    c0: np.ndarray
+    u1: np.ndarray
+    c1: np.ndarray
+
+
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and tail class of every word, and each row's first word."""
+    """Hash and tail of every word, and each row's first word."""
     buf, offsets = textops.as_bytes(pc.utf8_lower(col))
     starts, ends, _ = textops.runs(buf, offsets, textops.WORD)
     last = buf[ends - 1].astype(np.uint64) * np.uint64(257) + np.where(ends - starts > 1, buf[ends - 2], 0).astype(np.uint64)
@@ -75,7 +102,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = textops.strings(batch, "text")
-            for a, b in textops.slices(texts, 4 << 20):
+            for a, b in textops.slices(texts, 1 << 20):
                 h, tail, _ = tokens(texts[a:b])
                 own, at, n = np.unique(h, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(tail[at]), pa.array(n, pa.int64())], names=["h", "tail", "n"])
@@ -83,37 +110,50 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return store.mapped(docs.select("text"), run, "h long, tail int, n long").groupBy("h", "tail").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame) -> Words:
+def tiers_of(known: int) -> tuple[Tier, Tier]:
+    """How ids 0 to known - 1 are dealt to classes."""
+    head = min(known, HEAD)
+    first = Tier(0, head, 0, -(-head // HEAD_SIZE), HEAD_SIZE)
+    rest = known - head
+    size = 2 * isqrt(2 * rest)
+    return first, Tier(head, rest, first.classes, -(-rest // size) if rest else 0, size)
+
+
+def vocabulary(docs: DataFrame) -> tuple[Words, int]:
+    """The words of the corpus, and its number of tokens."""
     counts = store.written(word_counts(docs), "word-counts")
-    top = counts.orderBy(F.desc("n"), "h").limit(VOCABULARY).collect()  # VOCABULARY rows
-    all_ = {r["tail"]: (r["n"], r["types"]) for r in counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()}  # TAILS rows
-    klass = np.concatenate([np.array([i if i < SINGLES else SINGLES + r["tail"] for i, r in enumerate(top)], np.int64), np.arange(len(top), VOCABULARY) * 0, SINGLES + np.arange(TAILS), [0]])
-    n = np.zeros(PAD + 1)
-    n[: len(top)] = [r["n"] for r in top]
-    types = np.ones(PAD + 1)
-    for t, (total, kinds) in all_.items():
+    tails = {r["tail"]: (r["n"], r["types"]) for r in counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()}  # TAILS rows
+    types = sum(x for _, x in tails.values())
+    top = counts.orderBy(F.desc("n"), "h").limit(min(MOST_WORDS, max(LEAST_WORDS, 2 * isqrt(types)))).collect()  # MOST_WORDS rows at most
+    store.removed(counts)
+    known, tiers = len(top), tiers_of(len(top))
+    n, share = np.zeros(known + TAILS + 1), np.zeros(known + TAILS + 1)
+    n[:known] = [r["n"] for r in top]
+    for t in range(TAILS):
         mine = [r["n"] for r in top if r["tail"] == t]
-        n[VOCABULARY + t], types[VOCABULARY + t] = total - sum(mine), max(1, kinds - len(mine))
-    n[VOCABULARY:PAD] += 0.5  # a class's rarer words never have no share
-    counts_by_class = np.bincount(klass[:PAD], weights=n[:PAD], minlength=CLASSES)
-    with np.errstate(divide="ignore"):
-        share = np.log(n) - np.log(types) - np.log(np.maximum(counts_by_class[klass], 0.5))
+        total, kinds = tails.get(t, (0, 0))
+        n[known + t], share[known + t] = total - sum(mine), -np.log(max(1, kinds - len(mine)))
+    klass, member = np.zeros(known + TAILS + 1, np.int64), np.zeros(known + TAILS + 1, np.int64)
+    for t in tiers:
+        at = np.arange(t.words)
+        klass[t.word : t.word + t.words], member[t.word : t.word + t.words] = t.klass + at // t.size, at % t.size
+    klass[known : known + TAILS] = tiers[1].klass + tiers[1].classes + np.arange(TAILS)
     h = np.array([r["h"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(h)
-    return Words(h[order], order.astype(np.int64), klass, share, counts_by_class)
+    return Words(h[order], order.astype(np.int64), known, known + TAILS, tiers, klass, member, share, n), sum(x for x, _ in tails.values())
 
 
 def ids_of(words: Words, h: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    out = VOCABULARY + tail.astype(np.int64)
+    out = words.known + tail.astype(np.int64)
     if len(words.h):
         at = np.minimum(np.searchsorted(words.h, h), len(words.h) - 1)
         known = words.h[at] == h
         out[known] = words.ids[at[known]]
-    return out.astype(np.int16)
+    return out.astype(np.uint16)
 
 
-def encoded(docs: DataFrame, words: Words) -> DataFrame:
-    """doc_id and the ids of its words (16-bit, as bytes)."""
+def encoded(docs: DataFrame, words: Words, shards: int) -> DataFrame:
+    """doc_id, ids of its words (16-bit, as bytes), shard and h (its place in the shard), dealt by shard."""
     sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,91 +162,150 @@ def encoded(docs: DataFrame, words: Words) -> DataFrame:
             for a, b in textops.slices(texts):
                 h, tail, first = tokens(texts[a:b])
                 ids = ids_of(sent.value, h, tail)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([ids[x:y].tobytes() for x, y in zip(first, first[1:])], pa.binary())], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([ids[x:y].tobytes() for x, y in zip(first, first[1:])], pa.binary()), batch.column(1)[a:b]], names=["doc_id", "ids", "h"])
 
-    return store.mapped(docs.select("doc_id", "text"), run, "doc_id long, ids binary")
+    rows = store.mapped(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text"), run, "doc_id long, ids binary, h long")
+    rows = rows.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
+    return rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h", "doc_id", "ids")
 
 
 def start(words: Words, seed: int = 5) -> Net:
+    """Small random weights; the biases make it the corpus's share of every word."""
     rng = np.random.default_rng(seed)
-    e = rng.normal(0, 0.3, (len(_OFFSETS), PAD + 1, HIDDEN)).astype(np.float32)
-    u = rng.normal(0, 0.05, (HIDDEN, CLASSES)).astype(np.float32)
-    n = words.counts + 0.5
-    return Net(e, np.zeros(HIDDEN, np.float32), u, np.log(n / n.sum()).astype(np.float32))
+    total = words.tiers[1].klass + words.tiers[1].classes + TAILS
+    n = words.counts[: words.pad] + 0.5
+    by_class = np.bincount(words.klass[: words.pad], weights=n, minlength=total)
+    by_class[by_class == 0] = 0.5
+    e = rng.normal(0, 0.3, (len(_OFFSETS), words.pad + 1, HIDDEN))
+    u = rng.normal(0, 0.05, (HIDDEN, total))
+    parts = [e, np.zeros(HIDDEN), u, np.log(by_class / by_class.sum())]
+    for t in words.tiers:
+        c = np.full(t.classes * t.size, -1e4)
+        own = np.arange(t.word, t.word + t.words)
+        c[: t.words] = np.log(n[own] / by_class[words.klass[own]])
+        parts += [rng.normal(0, 0.05, (t.classes, HIDDEN, t.size)), c.reshape(t.classes, t.size)]
+    return Net(*(x.astype(np.float32) for x in parts))
+
+
+class Lot(NamedTuple):
+    """Some rows' ids with SIDE pads before and after each; the places of tokens, less SIDE; row sizes."""
 
-
-def _around(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The ids around each place of a padded array; at counts without the padding."""
-    return np.stack([ids[at + SIDE + d] for d in _OFFSETS])
+    ids: np.ndarray
+    at: np.ndarray
+    sizes: np.ndarray
 
 
-def _padded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All rows' ids with SIDE pads before and after each; the places of tokens, less SIDE; row sizes."""
-    rows = [np.frombuffer(x.as_buffer(), np.int16) for x in batch.column(1)]
+def lot(rows: list[np.ndarray], pad: int) -> Lot:
+    gap = np.full(SIDE, pad, np.uint16)
     sizes = np.array([len(x) for x in rows], np.int64)
-    gap = np.full(SIDE, PAD, np.int16)
-    flat = np.concatenate([gap, *(p for x in rows for p in (x, gap))]).astype(np.int64)
-    row = np.repeat(np.arange(len(rows)), sizes)
-    return flat, np.arange(sizes.sum()) + SIDE * row, sizes
+    return Lot(np.concatenate([gap, *(p for x in rows for p in (x, gap))]), np.arange(sizes.sum()) + np.repeat(SIDE * np.arange(len(rows)), sizes), sizes)
+
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """Probabilities in place; each row's log normaliser."""
+    top = z.max(axis=1, keepdims=True)
+    z -= top
+    np.exp(z, out=z)
+    total = z.sum(axis=1, keepdims=True)
+    z /= total
+    return (np.log(total) + top)[:, 0]
 
-def _forward(net: Net, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    total = net.e[0][around[0]]
+
+def _hidden(net: Net, around: list[np.ndarray]) -> np.ndarray:
+    total = net.e[0].take(around[0], axis=0)
     for k in range(1, len(around)):
-        total += net.e[k][around[k]]
-    hidden = np.tanh(total + net.b)
-    logits = hidden @ net.u
-    logits += net.c
-    return hidden, logits
+        total += net.e[k].take(around[k], axis=0)
+    total += net.b
+    return np.tanh(total, out=total)
+
+
+class Members(NamedTuple):
+    """The places of a batch whose words a tier holds, by class: places, class in the tier, where each class begins, hidden states, logits."""
+
+    at: np.ndarray
+    klass: np.ndarray
+    cuts: list[tuple[int, int, int]]
+    hidden: np.ndarray
+    logits: np.ndarray
 
 
-def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities in place, and each row's log normaliser."""
-    top = logits.max(axis=1, keepdims=True)
-    logits -= top
-    np.exp(logits, out=logits)
-    total = logits.sum(axis=1, keepdims=True)
-    logits /= total
-    return logits, (np.log(total) + top)[:, 0]
+def _members(words: Words, t: Tier, u: np.ndarray, c: np.ndarray, hidden: np.ndarray, own: np.ndarray) -> Members:
+    at = np.flatnonzero((own >= t.word) & (own < t.word + t.words))
+    klass = (words.klass[own[at]] - t.klass).astype(np.uint16)
+    order = np.argsort(klass, kind="stable")
+    at, klass = at[order], klass[order]
+    edge = np.searchsorted(klass, np.arange(t.classes + 1))
+    cuts = [(k, a, b) for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())) if a < b]
+    mine = hidden.take(at, axis=0)
+    logits = c.take(klass, axis=0)
+    for k, a, b in cuts:
+        logits[a:b] += mine[a:b] @ u[k]
+    return Members(at, klass, cuts, mine, logits)
 
 
 class Learner:
     """Adagrad on a copy of a network."""
 
-    def __init__(self, net: Net):
+    def __init__(self, net: Net, words: Words):
+        self.words = words
         self.net = Net(*(x.copy() for x in net))
-        self.square = Net(*(np.full_like(x, 1e-2) for x in net))
+        self.square = Net(*(np.full_like(x, 1e-6) for x in net))
         self.places = 0
 
-    def _move(self, k: int, grad: np.ndarray, rows=None, place: int = 0) -> None:
-        x, s = self.net[k], self.square[k]
-        if rows is None:
-            s += grad * grad
-            x -= RATE * grad / np.sqrt(s)
-        else:
-            s[place][rows] += grad * grad
-            x[place][rows] -= RATE * grad / np.sqrt(s[place][rows])
-
-    def learn(self, around: np.ndarray, klass: np.ndarray) -> None:
-        n = len(klass)
-        self.places += n
-        hidden, logits = _forward(self.net, around)
-        p, _ = _softmax(logits)
-        p[np.arange(n), klass] -= 1
-        p /= n
-        back = (p @ self.net.u.T) * (1 - hidden * hidden)
-        self._move(2, hidden.T @ p)
-        self._move(3, p.sum(axis=0))
-        self._move(1, back.sum(axis=0))
-        for k in range(len(around)):
-            rows, which = np.unique(around[k], return_inverse=True)
-            grad = np.zeros((len(rows), HIDDEN), np.float32)
-            np.add.at(grad, which, back)
-            self._move(0, grad, rows, k)
+    def gradients(self, around: list[np.ndarray], own: np.ndarray) -> tuple[dict[int, np.ndarray], np.ndarray]:
+        """Of the mean of -log P: by parameter, and by place for the sum of embeddings."""
+        net, words, n = self.net, self.words, len(own)
+        hidden = _hidden(net, around)
+        p = hidden @ net.u
+        p += net.c
+        _softmax(p)
+        p[np.arange(n), words.klass[own]] -= 1
+        p *= np.float32(1 / n)
+        back, out = p @ net.u.T, {2: hidden.T @ p, 3: p.sum(axis=0)}
+        for i, t in enumerate(words.tiers):
+            if not t.classes:
+                continue
+            u = net[4 + 2 * i]
+            m = _members(words, t, u, net[5 + 2 * i], hidden, own)
+            z = m.logits
+            _softmax(z)
+            z[np.arange(len(z)), words.member[own[m.at]]] -= 1
+            z *= np.float32(1 / n)
+            gu, gc, more = np.zeros_like(u), np.zeros_like(net[5 + 2 * i]), np.empty_like(m.hidden)
+            for k, a, b in m.cuts:
+                gu[k] = m.hidden[a:b].T @ z[a:b]
+                gc[k] = z[a:b].sum(axis=0)
+                np.matmul(z[a:b], u[k].T, out=more[a:b])
+            back[m.at] += more
+            out[4 + 2 * i], out[5 + 2 * i] = gu, gc
+        hidden *= hidden
+        back *= 1 - hidden
+        out[1] = back.sum(axis=0)
+        return out, back
+
+    def learn(self, around: list[np.ndarray], own: np.ndarray) -> None:
+        self.places += len(own)
+        dense, back = self.gradients(around, own)
+        for k, grad in dense.items():
+            self.square[k][...] += grad * grad
+            self.net[k][...] -= RATE * grad / np.sqrt(self.square[k])
+        for k, ids in enumerate(around):
+            order = np.argsort(ids, kind="stable")
+            found = ids[order]
+            first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+            grad, rows = np.add.reduceat(back.take(order, axis=0), first, axis=0), found[first]
+            square = self.square.e[k].take(rows, axis=0) + grad * grad
+            self.square.e[k][rows] = square
+            self.net.e[k][rows] -= RATE * grad / np.sqrt(square)
+
+
+def _around(ids: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The ids around each place of a padded array; at counts without the padding."""
+    return [ids[at + SIDE + d] for d in _OFFSETS]
 
 
 def _slices(net: Net) -> list[np.ndarray]:
-    return np.array_split(np.concatenate([x.ravel() for x in net]).astype(np.float64), SLICES)
+    return np.array_split(np.concatenate([x.ravel() for x in net]), SLICES)
 
 
 def _network(flat: np.ndarray, like: Net) -> Net:
@@ -215,42 +314,63 @@ def _network(flat: np.ndarray, like: Net) -> Net:
 
 
 def _added(table: pa.Table, key: str) -> pa.Table:
-    table = table.sort_by([("task", "ascending")])
-    total = sum(np.frombuffer(x.as_buffer(), np.float64) for x in table.column("x").combine_chunks())
-    return pa.table({"slice": table.column("slice").slice(0, 1), "task": table.column(key).slice(0, 1), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "x": pa.array([total.tobytes()], pa.binary())})
+    """The sum of networks' slices, each times its places, in the order of shards or steps."""
+    table = table.sort_by([("shard", "ascending")])
+    total = sum(np.frombuffer(x.as_buffer(), np.float64) for x in table.column("x"))
+    return pa.table({"slice": table.column("slice").slice(0, 1), "shard": table.column(key).slice(0, 1), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "x": pa.array([total.tobytes()], pa.binary())})
+
+
+def lots(batches: Iterator[pa.RecordBatch], pad: int) -> Iterator[tuple[int, pa.Array, Lot]]:
+    """Shard, ids and lot of rows of a shard, up to the row that reaches LOT tokens, wherever batches end."""
+    held: list[tuple[object, np.ndarray]] = []
+    size, now = 0, None
 
+    def made() -> tuple[int, pa.Array, Lot]:
+        return now, [x for x, _ in held], lot([x for _, x in held], pad)
 
-def learnt(at: np.ndarray, r: int) -> np.ndarray:
-    """The places that round r learns."""
-    return at[r % EVERY :: EVERY]
+    for batch in batches:
+        for doc, ids, shard in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            if held and (shard != now or size >= LOT):
+                yield made()
+                held, size = [], 0
+            now = shard
+            held.append((doc, np.frombuffer(ids.as_buffer(), np.uint16)))
+            size += len(held[-1][1]) + 1
+    if held:
+        yield made()
 
 
 def train(rows: DataFrame, words: Words, rounds: int = ROUNDS) -> Net:
-    """The network after all rounds over rows (doc_id, ids)."""
+    """The network after all rounds over rows (doc_id, ids, shard)."""
     net = start(words)
-    kind = "slice int, task int, n long, x binary"
+    kind = "slice int, shard int, n long, x binary"
     for r in range(rounds):
-        sent = rows.sparkSession.sparkContext.broadcast((net, words.klass))
+        sent = rows.sparkSession.sparkContext.broadcast((net, words))
+
+        def told(learner: Learner, shard: int) -> pa.RecordBatch:
+            x = [(p.astype(np.float64) * learner.places).tobytes() for p in _slices(learner.net)]
+            return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([shard] * SLICES, pa.int32()), pa.array([learner.places] * SLICES, pa.int64()), pa.array(x, pa.binary())], names=["slice", "shard", "n", "x"])
 
         def run(batches: Iterator[pa.RecordBatch], r: int = r) -> Iterator[pa.RecordBatch]:
-            first, klass = sent.value
-            learner = Learner(first)
-            for batch in batches:
-                for a in range(0, len(batch), 256):
-                    ids, at, _ = _padded(batch.slice(a, 256))
-                    at = learnt(at, r)
-                    for i in range(0, len(at), BATCH):
-                        places = at[i : i + BATCH]
-                        learner.learn(_around(ids, places), klass[ids[places + SIDE]])
-            if learner.places:
-                task = TaskContext.get().partitionId()
-                parts = _slices(learner.net)
-                yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([task] * SLICES, pa.int32()), pa.array([learner.places] * SLICES, pa.int64()), pa.array([(x * learner.places).tobytes() for x in parts], pa.binary())], names=["slice", "task", "n", "x"])
-
-        # two steps: the second sums what STEP groups of tasks gave
-        some = store.mapped(rows, run, kind).withColumn("step", F.pmod("task", F.lit(STEP)))
+            first, own = sent.value
+            learner, now = None, None
+            for shard, _, some in lots(batches, own.pad):
+                if shard != now:
+                    if learner and learner.places:
+                        yield told(learner, now)
+                    learner, now = Learner(first, own), shard
+                at = some.at[r % ROUNDS :: ROUNDS]
+                for i in range(0, len(at), BATCH):
+                    places = at[i : i + BATCH]
+                    learner.learn(_around(some.ids, places), some.ids[places + SIDE].astype(np.int64))
+            if learner and learner.places:
+                yield told(learner, now)
+
+        # two steps: the second sums what STEP groups of shards gave
+        some = store.mapped(rows, run, kind).withColumn("step", F.pmod("shard", F.lit(STEP)))
         some = some.groupBy("slice", "step").applyInArrow(lambda t: _added(t, "step"), kind)
-        parts = sorted((x["slice"], x["n"], x["x"]) for x in some.groupBy("slice").applyInArrow(lambda t: _added(t, "task"), kind).collect())  # one network
+        parts = sorted((x["slice"], x["n"], x["x"]) for x in some.groupBy("slice").applyInArrow(lambda t: _added(t, "shard"), kind).collect())  # one network
+        sent.unpersist()
         if not parts:
             break
         net = _network(np.concatenate([np.frombuffer(x, np.float64) / n for _, n, x in parts]), net)
@@ -260,37 +380,45 @@ def train(rows: DataFrame, words: Words, rounds: int = ROUNDS) -> Net:
 def log_probs(net: Net, words: Words, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log P(token | its sides) at each place."""
     out = np.zeros(len(at))
-    for i in range(0, len(at), 4096):
-        places = at[i : i + 4096]
-        own = ids[places + SIDE]
-        _, logits = _forward(net, _around(ids, places))
-        got = logits[np.arange(len(places)), words.klass[own]]
-        top = logits.max(axis=1)
-        logits -= top[:, None]
-        np.exp(logits, out=logits)
-        out[i : i + 4096] = got - top - np.log(logits.sum(axis=1)) + words.share[own]
+    for i in range(0, len(at), BATCH):
+        places = at[i : i + BATCH]
+        own = ids[places + SIDE].astype(np.int64)
+        hidden = _hidden(net, _around(ids, places))
+        z = hidden @ net.u
+        z += net.c
+        got = z[np.arange(len(own)), words.klass[own]].astype(np.float64)
+        got += words.share[own] - _normaliser(z)
+        for k, t in enumerate(words.tiers):
+            if t.classes:
+                m = _members(words, t, net[4 + 2 * k], net[5 + 2 * k], hidden, own)
+                got[m.at] += m.logits[np.arange(len(m.at)), words.member[own[m.at]]] - _normaliser(m.logits)
+        out[i : i + BATCH] = got
     return out
 
 
+def _normaliser(z: np.ndarray) -> np.ndarray:
+    """Log of the sum of exponentials of each row, which are lost; the logits are small."""
+    top = z.max(axis=1, keepdims=True) if z.size else z[:, :1]
+    return np.log(np.exp(z - top).sum(axis=1)) + top[:, 0]
+
+
 FIELDS = "doc_id long, n_tokens long, log_prob double, mean_log_prob double, perplexity double"
 
 
 def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Every document's summed and mean log-probability and pseudo-perplexity."""
-    words = vocabulary(docs)
-    rows = store.written(encoded(docs, words), "ids")
+    words, total = vocabulary(docs)
+    rows = store.written(encoded(docs, words, max(MIN_SHARDS, total // SHARD_TOKENS)), "ids").select("doc_id", "ids", "shard")
     sent = docs.sparkSession.sparkContext.broadcast((train(rows, words, rounds), words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, own = sent.value
-        for batch in batches:
-            for a in range(0, len(batch), 256):
-                part = batch.slice(a, 256)
-                ids, at, sizes = _padded(part)
-                total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=log_probs(net, own, ids, at), minlength=len(sizes)).astype(np.float64)
-                empty = sizes == 0
-                mean = total / np.maximum(sizes, 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(total), pa.array(mean, mask=empty), pa.array(np.exp(-mean), mask=empty)], names=[x.split()[0] for x in FIELDS.split(", ")])
+        for _, ids, some in lots(batches, own.pad):
+            sizes = some.sizes
+            total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=log_probs(net, own, some.ids, some.at), minlength=len(sizes)).astype(np.float64)
+            empty = sizes == 0
+            mean = total / np.maximum(sizes, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(total), pa.array(mean, mask=empty), pa.array(np.exp(-mean), mask=empty)], names=[x.split()[0] for x in FIELDS.split(", ")])
 
     return store.mapped(rows, run, FIELDS)
 

@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +110,61 @@ def test_quality_held_out(spark, tables):
     assert np.mean([r["predicted"] == t for r, t in held]) > max(y.mean(), 1 - y.mean()) - 0.02
 
 
+def test_quality_round_by_hand(spark, tables):
+    """Tables, exchange and calibration inputs of two rounds, counted in plain Python."""
+    docs, labels = tables
+    rows = quality.views(docs, labels.filter("doc_id % 2 = 0"))
+    first, second = quality.train(rows, 1)[0], quality.train(rows, 2)[0]
+    table = [(tuple(r["t"]), tuple(r["m"]), r["y"], r["fold"]) for r in rows.collect()]
+    known = [r for r in table if r[2] is not None and r[3] > 0]
+
+    def odds(counts, features, bins):
+        out = np.zeros((features, bins))
+        for f in range(features):
+            total = [sum(n for (g, _, y), n in counts.items() if (g, y) == (f, label)) for label in (0, 1)]
+            for b in range(bins):
+                n0, n1 = counts.get((f, b, 0), 0), counts.get((f, b, 1), 0)
+                if n0 + n1:
+                    out[f, b] = math.log((n1 + 8) / (total[1] + 8 * bins)) - math.log((n0 + 8) / (total[0] + 8 * bins))
+        return out
+
+    shapes = ((quality.TEXT_FEATURES, quality.BINS), (quality.META_FEATURES, quality.META_BINS))
+    for view in (0, 1):
+        counts = Counter()
+        for r in known:
+            for f, b in enumerate(r[view]):
+                counts[f, b, r[2]] += 16
+        assert np.allclose(first.tables[view], odds(counts, *shapes[view]))
+    # what the text view gives the metadata view in round 1
+    free = [r for r in table if r[2] is None]
+    raw = [sum(first.tables[0][f, b] for f, b in enumerate(r[0])) for r in free]
+    bins = [max(-240, min(240, round(x / 0.25))) for x in raw]
+    n = Counter(r[2] for r in table if r[2] is not None)
+    low, high = quality.thresholds(Counter(bins), 0.1, n[1] / (n[0] + n[1]))
+    counts, told = Counter(), Counter()
+    for r in known:
+        for f, b in enumerate(r[1]):
+            counts[f, b, r[2]] += 16
+    a, c = first.lines[0]
+    for r, x, at in zip(free, raw, bins):
+        if at <= low or at >= high:
+            p = round(4 / (1 + math.exp(-max(-30, min(30, a * x + c)))))
+            told[int(p >= 2)] += 1
+            for f, b in enumerate(r[1]):
+                counts[f, b, 1] += p
+                counts[f, b, 0] += 4 - p
+    entry = second.rounds[-1]
+    assert (entry["view"], entry["given_0"], entry["given_1"]) == ("metadata", told[0], told[1]) and told[0] and told[1]
+    want = odds(counts, *shapes[1])
+    assert np.allclose(second.tables[1], want if entry["taken"] else first.tables[1])
+    assert all(x["given_0"] + x["given_1"] > 0 for x in second.rounds[2:])
+
+
+def test_thresholds_take_the_ends():
+    assert quality.thresholds({-2: 10, 0: 80, 3: 10}, 0.1, 0.5) == (-2, 3)
+    assert quality.thresholds({}, 0.1, 0.5) == (-np.inf, np.inf)
+
+
 def test_quality_views_are_apart(make_docs):
     docs = make_docs(["Some words here.", "Some words here."], ["a", "b"])
     got = {r["doc_id"]: r for r in quality.bins(docs).collect()}
@@ -140,25 +197,97 @@ def test_masked_scores_order(spark, make_docs):
     assert all(f > s for f, s in zip(fine, shuffled))
 
 
-def test_masked_probabilities_sum_to_one(spark, make_docs):
+@pytest.fixture(scope="module")
+def trained(spark, make_docs):
+    """A corpus with more words than the head has, its words, and a network of one round."""
     rng = random.Random(5)
-    docs = make_docs([" ".join(sentences(rng, 5)) for _ in range(20)])
-    words = masked.vocabulary(docs)
-    net = masked.start(words)
-    ids = np.full(5, masked.PAD, np.int64)
-    types = len({w for r in docs.collect() for w in r["text"].split()})
+    texts = [" ".join([*sentences(rng, 3), *(f"w{rng.randrange(1500)}" for _ in range(30))]) for _ in range(200)]
+    docs = make_docs(texts)
+    words, total = masked.vocabulary(docs)
+    assert total == sum(len(t.split()) for t in texts) and words.known == masked.LEAST_WORDS
+    rows = docs.transform(lambda d: masked.encoded(d, words, 3)).select("doc_id", "ids", "shard")
+    return texts, words, masked.train(rows, words, 1), rows
+
+
+def plain_log_prob(net, words, ids, i):
+    """log P(ids[i] | its sides), number by number."""
+    around = [ids[i + d] if 0 <= i + d < len(ids) else words.pad for d in (-2, -1, 1, 2)]
+    hidden = [math.tanh(float(net.b[j]) + sum(float(net.e[k][w][j]) for k, w in enumerate(around))) for j in range(masked.HIDDEN)]
+
+    def log_softmax(u, c, at):
+        z = [float(c[k]) + sum(h * float(u[j][k]) for j, h in enumerate(hidden)) for k in range(len(c))]
+        return z[at] - max(z) - math.log(sum(math.exp(x - max(z)) for x in z))
+
+    own = ids[i]
+    out = log_softmax(net.u, net.c, words.klass[own])
+    if own >= words.known:
+        return out + float(words.share[own])
+    k = 0 if own < words.tiers[0].words else 1
+    inner = words.klass[own] - words.tiers[k].klass
+    return out + log_softmax(net[4 + 2 * k][inner], net[5 + 2 * k][inner], words.member[own])
+
+
+def test_masked_sum_by_hand(trained):
+    _, words, net, rows = trained
+    for r in rows.limit(2).collect():
+        ids = np.frombuffer(r["ids"], np.uint16)
+        some = masked.lot([np.zeros(0, np.uint16), ids], words.pad)
+        got = masked.log_probs(net, words, some.ids, some.at)
+        assert got == pytest.approx([plain_log_prob(net, words, ids.tolist(), i) for i in range(len(ids))], abs=1e-4)
+
+
+def test_masked_probabilities_sum_to_one(trained):
+    _, words, net, _ = trained
+    ids = np.array([words.pad, 3, 0, 500, words.known], np.uint16)
     total = 0.0
-    for own in range(types):
+    for own in range(words.pad):
         ids[2] = own
-        total += float(np.exp(masked.log_probs(net, words, ids, np.array([0])))[0])
-    # what is left goes to words of each class that never occurred
-    assert 0.5 < total <= 1 + 1e-6
+        # a tail's share is of one of its words; it has exp(-share) of them
+        total += float(np.exp(masked.log_probs(net, words, ids, np.array([0]))[0] - words.share[own]))
+    assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_masked_gradients_are_those_of_the_loss(trained):
+    _, words, net, rows = trained
+    learner = masked.Learner(masked.Net(*(x.astype(np.float64) for x in net)), words)
+    some = masked.lot([np.frombuffer(r["ids"], np.uint16) for r in rows.limit(3).collect()], words.pad)
+    around, own = masked._around(some.ids, some.at), some.ids[some.at + masked.SIDE].astype(np.int64)
+    dense, back = learner.gradients(around, own)
+
+    def loss():
+        return -masked.log_probs(learner.net, words, some.ids, some.at).mean()
+
+    rng = np.random.default_rng(1)
+    for k, grad in dense.items():
+        flat, own_grad = learner.net[k].reshape(-1), grad.reshape(-1)
+        for j in [*rng.integers(0, len(flat), 3), int(np.abs(own_grad).argmax())]:
+            kept = flat[j]
+            flat[j] = kept + 1e-4
+            up = loss()
+            flat[j] = kept - 1e-4
+            down = loss()
+            flat[j] = kept
+            assert own_grad[j] == pytest.approx((up - down) / 2e-4, abs=2e-5)
+    word = int(around[1][5])
+    want = back[around[1] == word].sum(axis=0)
+    for j in range(3):
+        learner.net.e[1][word, j] += 1e-4
+        up = loss()
+        learner.net.e[1][word, j] -= 2e-4
+        down = loss()
+        learner.net.e[1][word, j] += 1e-4
+        assert want[j] == pytest.approx((up - down) / 2e-4, abs=2e-5)
+
+
+def test_masked_scores_do_not_depend_on_the_cut(trained, make_docs):
+    texts = trained[0]
+    one, other = ({r["doc_id"]: r["log_prob"] for r in masked.scored(d, 1).collect()} for d in (make_docs(texts).coalesce(1), make_docs(texts).repartition(7, "text")))
+    assert one == pytest.approx(other, abs=1e-3)
 
 
 def test_masked_rounds_learn_every_place():
     at = np.arange(1003)
-    got = np.concatenate([masked.learnt(at, r) for r in range(masked.ROUNDS)])
-    assert sorted(got.tolist()) == at.tolist()
+    assert sorted(np.concatenate([at[r :: masked.ROUNDS] for r in range(masked.ROUNDS)]).tolist()) == at.tolist()
 
 
 def test_masked_edges(spark, make_docs):

@@ -50,7 +50,7 @@ def test_mix_and_encoding(stages):
     want = mixing.targets(dict(size))
     assert all(abs(got[s] - want[s]) <= 1 for s in want)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    enc = bpe.coder(path)
+    enc = bpe.coder(path).encoding
 
     def digest(t):
         ids = enc.encode_ordinary(t or "")
@@ -65,6 +65,17 @@ def test_run_repeats(spark, stages):
     assert sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, encoded.collect()), key=repr)
 
 
+def test_no_rows_and_nulls(spark, tmp_path):
+    """Empty tables give an empty result; rows of nulls pass every stage."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows in (("none", []), ("nulls", [(None, None, None, None, None), (1, "", None, "s", 0), (2, "a word", "en", None, 6)])):
+        spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    got = {(r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.run(spark, str(tmp_path / "nulls")).collect()}
+    assert {i for i, _ in got} <= {None, 1, 2} and (2, 2) in got
+
+
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and {n for n in range(1, 11)} == {int(m[1]) for x in names if (m := re.match(r"op(\d+)_", x))}
