@@ -43,7 +43,7 @@ BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 SMALL, HUBS = 16, 3
 #: Members of a mixed bucket in one block.
-BLOCK = 1024
+BLOCK = 512
 #: Estimates of pairs at LEAST fall below this once in about 30,000 pairs.
 SURE_BELOW = LEAST - 4 * (LEAST * (1 - LEAST) / REGISTERS) ** 0.5
 
@@ -187,65 +187,89 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return store.written(pairs.distinct(), "pairs"), large.select("key", "node")
 
 
-def _across(key: tuple, members: pa.Table) -> pa.Table:
-    """Pairs of a row with left and one without, of different components, whose signatures agree well enough."""
-    left = np.asarray(members.column("left").to_numpy(zero_copy_only=False), bool)
-    node, sig = (members.column(c).to_pylist() for c in ("node", "sig"))
-    _, kind = np.unique(np.array([x.hex() for x in members.column("component").to_pylist()]), return_inverse=True)
-    won = np.frombuffer(b"".join(sig), np.uint16).reshape(len(sig), -1)
-    others, pairs = np.flatnonzero(~left), set()
-    for i in np.flatnonzero(left).tolist():
-        far = others[kind[others] != kind[i]]
-        for j in far[(won[far] == won[i]).mean(axis=1) >= SURE_BELOW].tolist():
-            pairs.add((min(node[i], node[j]), max(node[i], node[j])))
-    return pa.table({"a": pa.array([x for x, _ in pairs], pa.binary()), "b": pa.array([y for _, y in pairs], pa.binary())})
+def _across(least: float):
+    """Links (a, b) between components of one bucket, one for each two that need it, of rows with left and rows without."""
+
+    def run(key: tuple, members: pa.Table) -> pa.Table:
+        left = np.asarray(members.column("left").to_numpy(zero_copy_only=False), bool)
+        names, kind = np.unique(np.array([x.hex() for x in members.column("component").to_pylist()]), return_inverse=True)
+        won = np.frombuffer(b"".join(members.column("sig").to_pylist()), np.uint16).reshape(len(left), -1)
+        bands = members.column("bands").combine_chunks().flatten().to_numpy().reshape(len(left), -1)
+        band = int(np.argmax(bands[0] == key[0].as_py()))
+        sets = [tuple(np.frombuffer(v.as_buffer(), np.uint32) for v in row) for row in zip(members.column("x"), members.column("c"))]
+        # what has been linked here counts as one
+        root, others, links = np.arange(len(names)), np.flatnonzero(~left), []
+        for i in np.flatnonzero(left).tolist():
+            far = others[root[kind[others]] != root[kind[i]]]
+            far = far[(won[far] == won[i]).mean(axis=1) >= SURE_BELOW]
+            # nodes that share an earlier band meet there
+            far = far[~(bands[far, :band] == bands[i, :band]).any(axis=1)]
+            for j in far.tolist():
+                one, other = root[kind[i]], root[kind[j]]
+                (x, cx), (y, cy) = sets[i], sets[j]
+                if one != other and similarity(x, cx if len(cx) else None, y, cy if len(cy) else None) >= least:
+                    links.append((bytes.fromhex(names[kind[i]]), bytes.fromhex(names[kind[j]])))
+                    root[root == other] = one
+        return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
+
+    return run
 
 
-def _mixed(large: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of agreeing nodes in one larger bucket (key, node) but not in one component of found."""
+def _mixed(docs: DataFrame, large: DataFrame, nodes: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """node, component for all nodes of larger buckets (key, node) whose components in found are linked across a bucket."""
     own = store.written(large.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")), "bucket-components")
     parts = own.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top")).filter("n > top.n")
     mixed = mixed.select(F.col("key").alias("m_key"), F.col("top.component").alias("top"), F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("rest"))
-    members = own.join(mixed.hint("merge"), F.col("key") == F.col("m_key")).join(nodes.select("node", "sig").hint("merge"), "node")
-    members = store.written(members.select("key", "node", "component", "sig", "top", "blocks", "rest"), "mixed")
+    members = store.written(own.join(mixed.hint("merge"), F.col("key") == F.col("m_key")).select("key", "node", "component", "top", "blocks", "rest"), "mixed")
+    sets = _wanted_sets(docs, nodes, members.select("node").distinct())
+    members = members.join(nodes.select("node", "sig", "bands").hint("merge"), "node").join(sets.hint("merge"), "node")
     place = lambda of: F.pmod(F.xxhash64("node", F.lit(9)), F.col(of)).cast("long")
     upto = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), (F.col(of) - 1).cast("long")))
-    few = members.filter("component <> top").select("key", "node", "component", "sig", place("rest").alias("x"), upto("blocks").alias("y"), F.lit(True).alias("left"))
-    every = members.select("key", "node", "component", "sig", upto("rest").alias("x"), place("blocks").alias("y"), F.lit(False).alias("left"))
-    return few.unionByName(every).groupBy("key", "x", "y").applyInArrow(_across, "a binary, b binary").distinct()
+    carried = ("key", "component", "sig", "bands", "x", "c")
+    few = members.filter("component <> top").select(*carried, place("rest").alias("bx"), upto("blocks").alias("by"), F.lit(True).alias("left"))
+    every = members.select(*carried, upto("rest").alias("bx"), place("blocks").alias("by"), F.lit(False).alias("left"))
+    return few.unionByName(every).groupBy("key", "bx", "by").applyInArrow(_across(least), "a binary, b binary").distinct()
+
+
+def _wanted_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, x, c: the shingle sets of the wanted nodes, each from one of the documents that have its text."""
+    some = store.written(wanted.join(nodes.select("node", "doc_id"), "node"), "wanted").select(F.col("node").alias("w_node"), F.col("doc_id").alias("w_id"))
+    texts = docs.select("doc_id", "text").withColumn("node", _node()).join(some.hint("merge"), (F.col("node") == F.col("w_node")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
+    return store.written(_sets(texts).dropDuplicates(["node"]), "sets")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, close: DataFrame, least: float) -> DataFrame:
     """The pairs of close whose shingle sets are alike."""
     ends = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
-    wanted = store.written(ends.join(nodes.select("node", "doc_id"), "node"), "wanted").select(F.col("node").alias("w_node"), F.col("doc_id").alias("w_id"))
-    texts = docs.select("doc_id", "text").withColumn("node", _node()).join(wanted.hint("merge"), (F.col("node") == F.col("w_node")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
-    sets = store.written(_sets(texts).dropDuplicates(["node"]), "sets")
+    sets = _wanted_sets(docs, nodes, ends)
     return store.written(store.mapped(_joined(close, sets, ["x", "c"]), _verified(least), "a binary, b binary"), "links")
 
 
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """Every row's doc_id, node (digest of its text), class_id, class_size and component (a node of its class)."""
-    rows = store.written(_features(docs), "features")
-    nodes = store.written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")), "nodes")
-    pairs, large = candidates(nodes)
-    close = store.written(store.mapped(_joined(pairs, nodes, ["sig"]), _alike, "a binary, b binary"), "close")
-    links = _links(docs, nodes, close, least)
-    found = graph.components(links)
-    if not large.isEmpty():
-        across = store.written(_mixed(large, nodes, found).join(close.hint("merge"), ["a", "b"], "left_anti"), "across")
-        if not across.isEmpty():
-            found = graph.components(links.unionByName(_links(docs, nodes, across, least)))
-    own = rows.select("doc_id", "node").join(found.hint("merge"), "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
-    own = store.written(own, "own")
-    named = store.written(own.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
+    with store.scratch():
+        rows = store.written(_features(docs), "features")
+        nodes = store.written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")), "nodes")
+        pairs, large = candidates(nodes)
+        close = store.written(store.mapped(_joined(pairs, nodes, ["sig"]), _alike, "a binary, b binary"), "close")
+        links = _links(docs, nodes, close, least)
+        found = graph.components(links)
+        own = rows.select("doc_id", "node").join(found.hint("merge"), "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+        if not large.isEmpty():
+            across = store.written(_mixed(docs, large, nodes, found, least), "across")
+            if not across.isEmpty():
+                joined = graph.components(across).select(F.col("node").alias("old"), F.col("component").alias("new"))
+                own = own.join(joined.hint("merge"), F.col("component") == F.col("old"), "left").select("doc_id", "node", F.coalesce("new", "component").alias("component"))
+        own = store.written(own, "own", keep=True)
+        named = store.written(own.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes", keep=True)
     return own.join(named.hint("merge"), "component").select("doc_id", "node", "class_id", "class_size", "component")
 
 
 def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """One document of each class, with the columns of docs: the one with the least doc_id."""
-    kept = store.written(classes(docs, least).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))), "kept")
+    with store.scratch():
+        kept = store.written(classes(docs, least).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))), "kept", keep=True)
     ids = kept.groupBy("doc_id", "node").agg(F.count("*").alias("n"), F.first("class_id").alias("c"))
     repeated = ids.filter(F.col("n") > 1).limit(1).count() or kept.groupBy("component").count().filter("count > 1").limit(1).count()
     out = docs.withColumn("__node", _node()).join(kept.select(F.col("doc_id").alias("k_id"), F.col("node").alias("k_node")).distinct().hint("merge"), (F.col("__node") == F.col("k_node")) & F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")

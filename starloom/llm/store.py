@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,13 +17,28 @@ BATCH_BYTES = 1 << 20
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back."""
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes at its end the tables that were written in it, but for those written with keep."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        removed(*_scratch.pop())
+
+
+def written(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back; keep: until the scratch around this one ends."""
     path = f"{shared_dir(df.sparkSession)}/starloom/{what}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     out = df.sparkSession.read.schema(schema).parquet(path)
     out._written_to = path
+    if len(_scratch) > keep:
+        _scratch[-1 - keep].append(out)
     return out
 
 
