@@ -7,7 +7,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
+
+from starloom.operators.sorts import numbered
 
 from .text import IRI_ESCAPES, escape_chars
 
@@ -106,7 +107,7 @@ class Namespaces:
         marked = df.withColumn("ns_prefix", prefix).withColumn("ns_iri", F.when(F.col(column).isNotNull(), F.coalesce(space, cut)))
         # one row for each unknown namespace of the data's predicates
         unknown = marked.filter(F.col("ns_prefix").isNull() & F.col("ns_iri").isNotNull()).select(F.col("ns_iri").alias("u_iri")).distinct()
-        unknown = unknown.withColumn("u_prefix", F.concat(F.lit("uns"), F.row_number().over(W.Window.orderBy("u_iri"))))
+        unknown = numbered(unknown, ["u_iri"], "u_rank").select("u_iri", F.concat(F.lit("uns"), F.col("u_rank")).alias("u_prefix"))
         out = marked.join(unknown, (F.col("ns_iri") == F.col("u_iri")) & F.col("ns_prefix").isNull(), "left")
         out = out.withColumn("ns_prefix", F.coalesce("ns_prefix", "u_prefix")).drop("u_iri", "u_prefix")
         return out.withColumn("local_name", F.substring(F.col(column), F.length("ns_iri") + 1, F.length(column)))

@@ -79,8 +79,10 @@ def drop_linked(entities: DataFrame, *links: DataFrame, entity_key: str = "id")
 def lookup(annotations: DataFrame, documents: DataFrame, ids: str = "ids", document_key: str = "id") -> DataFrame:
     """Each annotation with `documents`: the structs of those documents that its id list names, by id."""
     cols = annotations.columns
-    row = annotations.withColumn("__row", F.monotonically_increasing_id())
-    named = row.select("__row", F.explode(F.array_distinct(ids)).alias("__id"))
+    # rows are numbered in one branch only: a number that two branches compute need not be the same
+    row = annotations.select(F.monotonically_increasing_id().alias("__row"), F.struct(*(F.col(f"`{c}`") for c in cols)).alias("__own"))
+    row = row.select("__row", "__own", F.explode_outer(F.array_distinct(F.col("__own")[ids])).alias("__id"))
     body = documents.select(F.col(document_key).alias("__doc"), F.struct(*documents.columns).alias("__body"))
-    found = named.join(body, F.col("__id") == F.col("__doc")).groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.struct("__doc", "__body"))), lambda s: s["__body"]).alias("documents"))
-    return row.join(found, "__row", "left").select(*cols, "documents")
+    met = F.when(F.col("__doc").isNotNull(), F.struct("__doc", "__body"))
+    found = row.join(body, F.col("__id") == F.col("__doc"), "left").groupBy("__row").agg(F.first("__own").alias("__own"), F.transform(F.array_sort(F.collect_list(met)), lambda s: s["__body"]).alias("documents"))
+    return found.select("__own.*", F.when(F.size("documents") > 0, F.col("documents")).alias("documents"))

@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,8 @@ K1, B = 1.2, 0.75
 MOST_RESULTS, MOST_TAGS, MOST_WORDS = 10_000, 5_000, 8
 OVERLAPS = ("ALL", "NO_SUB", "LONGEST_DOMINANT_RIGHT")
 _WORD = re.compile(r"[A-Za-z0-9_]+")
-#: A dictionary of up to so many phrases goes to the tasks, which then pass on matches alone.
-SENT_PHRASES = 200_000
+#: A dictionary of up to so many bytes goes to the tasks.
+SENT_BYTES = 32 << 20
 
 
 def tokens(x: Column | str) -> Column:
@@ -82,37 +83,45 @@ def phrase(x: Column | str) -> Column:
     return F.array_join(tokens(x), " ")
 
 
-def _text_phrases(lengths: list[int], sent):
-    """Every run of the given numbers of words of each text, with its place in code points.
+def _text_phrases(lengths: list[int], known: dict[str, list[str]] | None, overlap: str, most: int):
+    """Every run of the given numbers of words of each text: row, id, start, end (code points), match_text, phrase, ids.
 
-    sent: a broadcast set of phrases; if given, only runs that are among them.
+    With a dictionary (phrase to ids) only its phrases, with their ids, and of these the
+    tags that the text keeps; without one ids are null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value if sent else None
+        first, out = TaskContext.get().partitionId() << 33, []
         for batch in batches:
-            ids, out = batch.column(0), []
-
-            def rows() -> pa.RecordBatch:
-                row, a, b, p = (list(c) for c in zip(*out))
-                out.clear()
-                return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(p)], names=["id", "start", "end", "phrase"])
-
-            for i, text in enumerate(batch.column(1)):
-                spans = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(text.as_py() or "")]
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                text = text or ""
+                words = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(text)]
+                hits = []
                 for n in lengths:
-                    for k in range(len(spans) - n + 1):
-                        p = spans[k][2] if n == 1 else " ".join([w for _, _, w in spans[k : k + n]])
+                    for k in range(len(words) - n + 1):
+                        p = words[k][2] if n == 1 else " ".join([w for _, _, w in words[k : k + n]])
                         if known is None or p in known:
-                            out.append((i, spans[k][0], spans[k + n - 1][1], p))
-                    if len(out) >= 50_000:
-                        yield rows()
+                            hits.append((words[k][0], words[k + n - 1][1], p))
+                if known is not None and hits:
+                    good = set(resolved([(a, b) for a, b, _ in hits], overlap)[:most])
+                    hits = [h for h in hits if h[:2] in good]
+                out += [(first + i, i, a, b, text[a:b], p, known and known[p]) for a, b, p in hits]
+                if len(out) >= 50_000:
+                    yield _hits(batch.column(0), out)
+                    out = []
             if out:
-                yield rows()
+                yield _hits(batch.column(0), out)
+                out = []
+            first += len(batch)
 
     return run
 
 
+def _hits(ids: pa.Array, out: list[tuple]) -> pa.RecordBatch:
+    row, i, a, b, m, p, found = (list(c) for c in zip(*out))
+    return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), ids.take(pa.array(i)), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(m), pa.array(p), pa.array(found, pa.list_(pa.string()))], names=["row", "id", "start", "end", "match_text", "phrase", "ids"])
+
+
 def resolved(spans: list[tuple[int, int]], overlap: str) -> list[tuple[int, int]]:
     """The spans that an overlap rule keeps, ascending.
 
@@ -145,29 +154,35 @@ def _near(kept: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int]]:
 def tag(texts: DataFrame, dictionary: DataFrame, id_col: str = "id", text_col: str = "text", overlap: str = "ALL", most: int = MOST_TAGS) -> DataFrame:
     """Occurrences of dictionary labels (id, label) in texts: id, start_offset, end_offset, match_text, ids.
 
-    Labels of up to MOST_WORDS words match word by word, whatever their case. Texts give their
-    phrases of the lengths that labels have; phrases and labels meet in one equality join
-    (a dictionary of checked size is looked up before it), and a text's overlaps are resolved from its matches alone. At most `most` tags a text,
-    the first ones.
+    Labels of up to MOST_WORDS words match word by word, whatever their case. A dictionary of
+    up to SENT_BYTES goes to the tasks, and a text's tags are found, resolved and cut out
+    where the text is read. Beyond that texts give their phrases of the lengths that labels
+    have, which meet the labels in an equality join, and each text's overlaps are resolved
+    from its matches alone. At most `most` tags a text, the first ones. Texts of one id are
+    texts of their own.
     """
     if overlap not in OVERLAPS:
         raise ValueError(f"overlap must be one of {OVERLAPS}")
     entries = dictionary.select(F.col("id").cast("string").alias("entry"), phrase("label").alias("phrase"))
     entries = entries.filter((F.col("phrase") != "") & (F.size(F.split("phrase", " ")) <= MOST_WORDS))
     entries = entries.groupBy("phrase").agg(F.sort_array(F.collect_set("entry")).alias("ids"))
-    lengths = sorted(r["n"] for r in entries.select(F.size(F.split("phrase", " ")).alias("n")).distinct().collect())  # MOST_WORDS numbers at most
+    entries = materialised(entries, "phrases")
+    size = F.length("phrase") + F.aggregate("ids", F.lit(64), lambda n, x: n + F.length(x) + 64)
+    sized = entries.groupBy(F.size(F.split("phrase", " ")).alias("n")).agg(F.sum(size).alias("bytes")).collect()  # MOST_WORDS rows at most
+    known = None
+    if sum(r["bytes"] for r in sized) <= SENT_BYTES:
+        known = {r["phrase"]: r["ids"] for r in entries.collect()}
     kind = texts.schema[id_col].dataType.simpleString()
-    first = [r["phrase"] for r in entries.select("phrase").limit(SENT_PHRASES + 1).collect()]
-    sent = texts.sparkSession.sparkContext.broadcast(frozenset(first)) if len(first) <= SENT_PHRASES else None
-    phrases = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_text_phrases(lengths, sent), f"id {kind}, start int, end int, phrase string")
-    hits = phrases.join(entries, "phrase").select("id", "start", "end", "ids")
-
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        spans = list(zip(frame["start"].tolist(), frame["end"].tolist()))
-        good = set(resolved(spans, overlap)[:most])
-        return frame[[s in good for s in spans]]
-
-    kept = hits.groupBy("id").applyInPandas(choose, hits.schema)
     named = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = kept.join(named, "id")
-    return out.select("id", F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), F.expr("substring(text, start + 1, end - start)").alias("match_text"), "ids")
+    run = _text_phrases(sorted(r["n"] for r in sized), known, overlap, most)
+    found = named.mapInArrow(run, f"row long, id {kind}, start int, end int, match_text string, phrase string, ids array<string>")
+    if known is None:
+        hits = found.drop("ids").join(entries, "phrase").select("row", "id", "start", "end", "match_text", "ids")
+
+        def choose(frame: pd.DataFrame) -> pd.DataFrame:
+            spans = list(zip(frame["start"].tolist(), frame["end"].tolist()))
+            good = set(resolved(spans, overlap)[:most])
+            return frame[[s in good for s in spans]]
+
+        found = hits.groupBy("row").applyInPandas(choose, hits.schema)
+    return found.select("id", F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), "match_text", "ids")

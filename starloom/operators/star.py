@@ -51,7 +51,7 @@ def _listed(condition: Column, order: Column) -> Column:
 def entity_documents(rows: DataFrame, rules: StarRules | None = None, redirects: DataFrame | None = None, disambiguations: DataFrame | None = None) -> DataFrame:
     """One document for each subject of tagged rows (see merges): a single shuffle by subject.
 
-    Statements that no field takes are dropped before the shuffle. "First" is by source and
+    Statements that no field takes leave no more than their subject in what is shuffled. "First" is by source and
     origin. Entities that are themselves redirects or disambiguations are dropped, and those
     that others point to list them. Null subjects give no document.
     """
@@ -60,15 +60,13 @@ def entity_documents(rows: DataFrame, rules: StarRules | None = None, redirects:
     titles = [rules.ontology_base + t for t in rules.title_properties]
     named = F.startswith(p, F.lit(rules.ontology_base)) & F.contains(F.lower(p), F.lit("name")) if rules.ontology_base else F.lit(False)
     alternative = p.isin(NAME, NICK, *titles) | named
-    wanted = p.isin(LABEL, COMMENT, TYPE, SUBJECT, SAME_AS, EXACT_MATCH, RANK) | alternative
-    # subjects without any wanted statement still are entities, so one row of each stays
     few = rows.filter(F.col("subject").isNotNull())
     docs = few.groupBy(F.col("subject").alias("id")).agg(
         _listed(p == LABEL, order).alias("labels"),
         F.min_by(F.when(p == COMMENT, F.col("value")), F.when(p == COMMENT, order)).alias("comment"),
         _listed(p == TYPE, order).alias("type_uri"),
         F.min_by(F.when(p == RANK, F.col("value")), F.when(p == RANK, order)).try_cast("float").alias("pagerank"),
-        _listed(alternative & wanted, order).alias("others"),
+        _listed(alternative, order).alias("others"),
         F.array_distinct(_listed(p.isin(SAME_AS, EXACT_MATCH), order)).alias("same_as_uri"),
         F.array_distinct(_listed(p == SUBJECT, order)).alias("subjects_uri"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +13,11 @@ from starloom.functions import uris
 from starloom.functions.namespaces import Namespaces
 from starloom.operators import documents, filters, groups, maps, merges, search, sets, sorts, star
 from starloom.schema import FIELDS, LANG_STRING, XSD_STRING, has_object_predicate, statement
+from starloom.shared import shared_dir
 from starloom.sinks.render import render
-from starloom.sinks.writers import split_names
+from starloom.sinks.writers import split_names, write_file
 from starloom.sources import headers
-from starloom.sources.lines import line_counts, parsed
+from starloom.sources.lines import line_counts, parsed, read_statements
 from starloom.sources.lines import statements as good_lines
 
 from .tables import BASE, NS, XSD, iri, statements, statements_sql, table
@@ -246,35 +248,31 @@ def bucket_statistics(spark, sf_dir):
 
 
 def _order_sources(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    orders = statements(spark, sf_dir, "orders")
+    """Orders, the statements of their lines under the orders' subjects, and customers, whose subjects orders have not."""
     lines = statements(spark, sf_dir, "lineitem")
-    return orders.filter(F.substring_index("subject", "/", -1).cast("long") % 3 == 0), maps.changed(lines, subject=F.concat(F.lit(f"{BASE}/orders/"), F.element_at(F.split("subject", "/"), -2))), orders
+    lines = maps.changed(lines, subject=F.concat(F.lit(f"{BASE}/orders/"), F.element_at(F.split("subject", "/"), -2)))
+    return statements(spark, sf_dir, "orders"), lines, statements(spark, sf_dir, "customer")
 
 
-@query(f"""
-WITH o AS (SELECT o_orderkey AS k, 4 AS n FROM orders WHERE o_orderkey % 3 = 0),
-l AS (SELECT l_orderkey AS k, 5 * count(*) AS n FROM lineitem GROUP BY 1)
-SELECT '{BASE}/orders/' || o.k AS key, CAST(o.n AS BIGINT) AS n0, CAST(coalesce(l.n, 0) AS BIGINT) AS n1 FROM o LEFT JOIN l USING (k)""")
+_ORDER_SOURCES = f"""s AS (SELECT 0 AS i, subject AS key FROM ({statements_sql('orders')})
+UNION ALL SELECT 1, '{BASE}/orders/' || split_part(subject, '/', 5) FROM ({statements_sql('lineitem')})
+UNION ALL SELECT 2, subject FROM ({statements_sql('customer')}))"""
+_ORDER_COUNTS = "SELECT key, count(*) FILTER (i = 0) AS n0, count(*) FILTER (i = 1) AS n1, count(*) FILTER (i = 2) AS n2 FROM s GROUP BY key"
+
+
+@query(f"WITH {_ORDER_SOURCES} SELECT * FROM ({_ORDER_COUNTS}) WHERE n0 > 0")
 def merge_lead(spark, sf_dir):
-    lead, lines, _ = _order_sources(spark, sf_dir)
-    return merges.group_sizes(merges.tagged(lead, lines), 2, lead_only=True)
+    return merges.group_sizes(merges.tagged(*_order_sources(spark, sf_dir)), 3, lead_only=True)
 
 
-@query(f"""SELECT CAST(_source AS INT) AS _source, count(*) AS n FROM (
-SELECT 0 AS _source FROM ({statements_sql('orders')}) WHERE CAST(split_part(subject, '/', 5) AS BIGINT) % 3 = 0
-UNION ALL SELECT 1 FROM ({statements_sql('lineitem')}) WHERE CAST(split_part(subject, '/', 5) AS BIGINT) % 3 = 0 AND CAST(split_part(subject, '/', 5) AS BIGINT) IN (SELECT o_orderkey FROM orders)) GROUP BY 1""")
+@query(f"WITH {_ORDER_SOURCES} SELECT CAST(i AS INT) AS _source, count(*) AS n FROM s WHERE key IN (SELECT key FROM s WHERE i = 0) GROUP BY i")
 def merge_lead_rows(spark, sf_dir):
-    lead, lines, _ = _order_sources(spark, sf_dir)
-    return merges.merge_lead(lead, lines).groupBy("_source").agg(F.count("*").alias("n"))
+    return merges.merge_lead(*_order_sources(spark, sf_dir)).groupBy("_source").agg(F.count("*").alias("n"))
 
 
-@query(f"""
-WITH o AS (SELECT o_orderkey AS k, 4 AS n FROM orders WHERE o_orderkey % 3 = 0),
-l AS (SELECT l_orderkey AS k, 5 * count(*) AS n FROM lineitem GROUP BY 1)
-SELECT '{BASE}/orders/' || k AS key, CAST(coalesce(o.n, 0) AS BIGINT) AS n0, CAST(coalesce(l.n, 0) AS BIGINT) AS n1 FROM o FULL JOIN l USING (k)""")
+@query(f"WITH {_ORDER_SOURCES} {_ORDER_COUNTS}")
 def merge_kway(spark, sf_dir):
-    lead, lines, _ = _order_sources(spark, sf_dir)
-    return merges.group_sizes(merges.merge_all(lead, lines), 2)
+    return merges.group_sizes(merges.merge_all(*_order_sources(spark, sf_dir)), 3)
 
 
 @query("SELECT DISTINCT 'http://ex.org/user/' || user_id AS subject, 'http://ex.org/ns#did' AS predicate, event_type AS value FROM events")
@@ -325,17 +323,17 @@ def _links(spark, sf_dir) -> DataFrame:
     return filters.matching(statements(spark, sf_dir, "customer"), predicate=NS + "c_nationkey")
 
 
-@query("SELECT 'http://ex.org/nation/' || n_nationkey AS id, string_agg('http://ex.org/customer/' || c_custkey, ',' ORDER BY 'http://ex.org/customer/' || c_custkey) AS redirects FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 40 = 0 GROUP BY n_nationkey")
+@query("SELECT 'http://ex.org/nation/' || n_nationkey AS id, string_agg('http://ex.org/customer/' || c_custkey, ',' ORDER BY 'http://ex.org/customer/' || c_custkey) AS redirects FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey")
 def attach_redirect(spark, sf_dir):
     entities = table(spark, sf_dir, "nation").select(iri("nation", "n_nationkey").alias("id"))
-    few = _links(spark, sf_dir).filter(F.substring_index("subject", "/", -1).cast("long") % 40 == 0)
-    return merges.attach(entities, few, "redirects").select("id", F.array_join("redirects", ",").alias("redirects"))
+    return merges.attach(entities, _links(spark, sf_dir), "redirects").select("id", F.array_join("redirects", ",").alias("redirects"))
 
 
-@query("SELECT 'http://ex.org/customer/' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT 'http://ex.org/customer/' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def anti_redirect(spark, sf_dir):
+    """Customers without an urgent order."""
     entities = table(spark, sf_dir, "customer").select(iri("customer", "c_custkey").alias("id"))
-    links = filters.matching(statements(spark, sf_dir, "orders"), predicate=NS + "o_custkey").select(F.col("value").alias("subject"))
+    links = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(iri("customer", "o_custkey").alias("subject"))
     return merges.drop_linked(entities, links)
 
 
@@ -405,6 +403,38 @@ def tag_entities(spark, sf_dir):
     return tags.groupBy(F.col("id").alias("doc_id"), F.lower("match_text").alias("label")).agg(F.count("*").alias("n"))
 
 
+@query("""WITH d AS (SELECT DISTINCT lower(array_to_string(list_slice(regexp_extract_all(text, '[A-Za-z0-9_]+'), 1, 3), ' ')) AS label FROM benchmark),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') AS words FROM documents)),
+g AS (SELECT doc_id, word || ' ' || lead(word, 1) OVER (PARTITION BY doc_id ORDER BY i) || ' ' || lead(word, 2) OVER (PARTITION BY doc_id ORDER BY i) AS phrase FROM w)
+SELECT doc_id, label, count(*) AS n FROM g JOIN d ON phrase = label GROUP BY 1, 2""")
+def tag_phrases(spark, sf_dir):
+    """Labels of three words, as they begin the benchmark's texts."""
+    words = F.slice(F.filter(F.split("text", "[^A-Za-z0-9_]+"), lambda w: w != ""), 1, 3)
+    dictionary = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.array_join(words, " ").alias("label"))
+    tags = search.tag(table(spark, sf_dir, "documents"), dictionary, "doc_id", most=1 << 30)
+    return tags.groupBy(F.col("id").alias("doc_id"), search.phrase("match_text").alias("label")).agg(F.count("*").alias("n"))
+
+
+# --- files ------------------------------------------------------------------------------------
+
+
+def _through_file(spark, sf_dir, fmt: str, suffix: str, *names: str) -> DataFrame:
+    """Statements written to one file and read back."""
+    path = f"{shared_dir(spark)}/starloom-core/{uuid.uuid4().hex}.{suffix}"
+    write_file(statements(spark, sf_dir, *names), path, fmt)
+    return read_statements(spark, path).select("subject", "predicate", "value", "datatype")
+
+
+@query(f"SELECT subject, predicate, value, datatype FROM ({statements_sql('customer')})")
+def file_ntriples_gzip(spark, sf_dir):
+    return _through_file(spark, sf_dir, "n-triples", "nt.gz", "customer")
+
+
+@query(f"SELECT subject, predicate, value, datatype FROM ({statements_sql('part', 'supplier')})")
+def file_nquads_bzip2(spark, sf_dir):
+    return _through_file(spark, sf_dir, "n-quads", "nq.bz2", "part", "supplier")
+
+
 # --- scalar functions -------------------------------------------------------------------------
 
 

@@ -25,9 +25,10 @@ def sort_job(spark: SparkSession, settings: Settings, target: Target | str = Tar
     fmt = settings.format() or "turtle-quads"
     suffix = settings.string("output-suffix") or settings.string("suffix", default="")
     for name, path in _inputs(spark, settings).items():
-        df = sorts.sort_by(read_statements(spark, path, dataset=name), target)
+        read = read_statements(spark, path, dataset=name)
+        df, size = sorts.sort_by(read, target), read.count()
         to = paths.dataset_path(settings.base_dir, f"{name}-sorted", suffix)
-        head = headers.header_line(name, -1, fmt, traits=(f"{key_name(target)}-sorted",))
+        head = headers.header_line(name, size, fmt, traits=(f"{key_name(target)}-sorted",))
         terse = fmt.startswith(("n-", "turtle-"))
         write_file(df, to, fmt, raw=True, head=head if terse else None, foot=headers.footer_line() if terse else None)
         out.append(to)

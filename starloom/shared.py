@@ -36,4 +36,4 @@ def spread(df: DataFrame) -> DataFrame:
     number of cores; larger tables stay as they are read.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -132,3 +132,24 @@ def test_search(spark):
     assert set(scores) == {1, 2} and scores[1] > scores[2] > 0
     assert search.bm25(texts, []).count() == 0
     assert [r["id"] for r in search.find(texts, search.contains_words("text", "YORK the")).collect()] == [2]
+
+
+@pytest.mark.parametrize("sent", [search.SENT_BYTES, 0])
+def test_tags_of_texts_with_one_id(spark, monkeypatch, sent):
+    """Each text's matches and overlaps are its own, with the dictionary sent and joined."""
+    monkeypatch.setattr(search, "SENT_BYTES", sent)
+    texts = spark.createDataFrame([(1, "a big cat, a big cat"), (1, "the dog"), (None, "a cat"), (2, None)], "id long, text string").repartition(3)
+    labels = spark.createDataFrame([("c", "Cat"), ("b", "big-cat"), ("d", "dog"), ("n", None)], "id string, label string")
+    tags = lambda **k: sorted((r["id"] or 0, r["start_offset"], r["match_text"], *r["ids"]) for r in search.tag(texts, labels, **k).collect())
+    assert tags() == [(0, 2, "cat", "c"), (1, 2, "big cat", "b"), (1, 4, "dog", "d"), (1, 6, "cat", "c"), (1, 13, "big cat", "b"), (1, 17, "cat", "c")]
+    assert tags(overlap="NO_SUB") == [(0, 2, "cat", "c"), (1, 2, "big cat", "b"), (1, 4, "dog", "d"), (1, 13, "big cat", "b")]
+    assert tags(overlap="LONGEST_DOMINANT_RIGHT", most=1) == [(0, 2, "cat", "c"), (1, 2, "big cat", "b"), (1, 4, "dog", "d")]
+
+
+def test_lookup_with_repeated_rows(spark):
+    notes = spark.createDataFrame([(1, ["a", "b", "a"]), (1, ["a", "b", "a"]), (2, ["z"]), (3, None), (None, ["b"])], "start long, ids array<string>").repartition(4)
+    docs = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n long").repartition(3)
+    got = merges.lookup(notes, docs)
+    assert got.columns == ["start", "ids", "documents"]
+    rows = sorted(((r["start"] or 0), None if r["documents"] is None else [d["n"] for d in r["documents"]]) for r in got.collect())
+    assert rows == [(0, [2]), (1, [1, 2]), (1, [1, 2]), (2, None), (3, None)]
