@@ -4,8 +4,9 @@ One Aho-Corasick pass over a text finds at-signs, digits, plus signs, URL scheme
 identifier cues. A local parser at each anchor then expands to the value's boundaries and
 validates it; parsers are deterministic and read each character a bounded number of times.
 
-Kinds, in the order of results: email, ip, card, phone (the base kinds), then url and
-account. Within a kind spans do not overlap; across kinds they may. Offsets count code
+Kinds, in the order of results: email, ip, card, phone (the base kinds), then url, account
+and secret (a key or token that is assigned to a name, of 16 characters or more with letters
+and digits). Within a kind spans do not overlap; across kinds they may. Offsets count code
 points, ends exclusive.
 
 Defined results: a null text counts as empty and has no spans; texts of any length are
@@ -27,9 +28,10 @@ from pyspark.sql import functions as F
 from . import store, textops
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "url", "account")
+KINDS = (*BASE, "url", "account", "secret")
 SCHEMES = ("http://", "https://", "ftp://", "ftps://", "mailto:", "sftp://")
 CUES = ("iban", "ssn", "passport", "account no", "account number", "acct", "routing number", "tax id", "social security")
+SECRETS = ("token", "secret", "password", "passwd", "api key", "api_key", "apikey", "api-key", "access key", "access_key", "secret key", "secret_key", "private key", "private_key")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,6 +41,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s<>\"'`{}|\\^\[\]]+")
 _ACCOUNT = re.compile(r"[\s:#.=-]{1,4}((?:[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){10,30})|[A-Z]{0,2}[0-9](?:[ -]?[0-9]){5,19})(?![A-Za-z0-9])")
+_SECRET = re.compile(r"[ \t]{0,3}[\"'`]?[ \t]{0,3}(?::=|=>|[=:])[ \t]{0,3}[\"'`]?([A-Za-z0-9_+/.~-]{16,}={0,2})")
+_LETTER, _DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
 Span = tuple[int, int]
@@ -53,9 +57,10 @@ def _automaton() -> ahocorasick.Automaton:
         for word in SCHEMES:
             for form in {word, word.upper(), word.capitalize()}:
                 made.add_word(form, ("url", len(word)))
-        for word in CUES:
-            for form in {word, word.upper(), word.capitalize(), word.title()}:
-                made.add_word(form, ("cue", len(word)))
+        for kind, words in (("cue", CUES), ("secret", SECRETS)):
+            for word in words:
+                for form in {word, word.upper(), word.capitalize(), word.title()}:
+                    made.add_word(form, (kind, len(word)))
         made.make_automaton()
         _automata.append(made)
     return _automata[0]
@@ -125,7 +130,7 @@ def _numbers(text: str, start: int, end: int, found: dict[str, list[Span]]) -> N
 def spans(text: str) -> dict[str, list[Span]]:
     """All spans of a text by kind, each kind by start."""
     found: dict[str, list[Span]] = {k: [] for k in KINDS}
-    email_end = cluster_end = url_end = account_end = 0
+    email_end = cluster_end = url_end = account_end = secret_end = 0
     for last, (kind, length) in _automaton().iter(text):
         if kind == "@":
             if last >= email_end and (got := _email(text, last, email_end)):
@@ -144,6 +149,13 @@ def spans(text: str) -> dict[str, list[Span]]:
                 if end > last + 1 and ("." in text[last + 1 : end] or "@" in text[last + 1 : end] or ":" in text[last + 1 : end]):
                     found["url"].append((start, end))
                     url_end = end
+        elif kind == "secret":
+            start = last + 1 - length
+            if start < secret_end or start and text[start - 1].isalnum() or not (got := _SECRET.match(text, last + 1)):
+                continue
+            secret_end = got.end(1)
+            if _LETTER.search(text, *got.span(1)) and _DIGIT.search(text, *got.span(1)):
+                found["secret"].append(got.span(1))
         else:
             start = last + 1 - length
             if start < account_end or start and text[start - 1].isalnum() or not (got := _ACCOUNT.match(text, last + 1)):
@@ -170,7 +182,7 @@ def redact(text: str, found: dict[str, list[Span]]) -> str:
     return "".join([*out, text[at:]])
 
 
-FIELDS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_url long, n_account long"
+FIELDS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_url long, n_account long, n_secret long, n_spans long"
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -181,9 +193,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
             rows = []
             for x in textops.strings(batch, "text"):
                 found = spans(x.as_py())
-                rows.append((*(len(found[k]) for k in BASE), hashlib.sha256(listed(found, BASE).encode()).hexdigest(), listed(found, KINDS), len(found["url"]), len(found["account"])))
-            kinds = (*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 8, kinds))], names=[f.split()[0] for f in FIELDS.split(", ")])
+                rows.append((*(len(found[k]) for k in BASE), hashlib.sha256(listed(found, BASE).encode()).hexdigest(), listed(found, KINDS), *(len(found[k]) for k in KINDS[len(BASE) :]), sum(map(len, found.values()))))
+            kinds = (*[pa.int64()] * 4, pa.string(), pa.string(), *[pa.int64()] * 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 10, kinds))], names=[f.split()[0] for f in FIELDS.split(", ")])
 
     return store.mapped(docs.select("doc_id", "text"), run, FIELDS)
 
