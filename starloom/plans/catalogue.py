@@ -12,12 +12,12 @@ from starloom.functions import text as tx
 from starloom.functions import uris
 from starloom.functions.namespaces import Namespaces
 from starloom.operators import documents, filters, groups, maps, merges, search, sets, sorts, star
-from starloom.schema import FIELDS, LANG_STRING, XSD_STRING, has_object_predicate, statement
+from starloom.schema import FIELDS, LANG_STRING, XSD_STRING, has_object_predicate, statement, typed_object
 from starloom.shared import shared_dir
 from starloom.sinks.render import render
-from starloom.sinks.writers import split_names, write_file
+from starloom.sinks.writers import FileSink, SinkGroup, split_names, write_file
 from starloom.sources import headers
-from starloom.sources.lines import line_counts, parsed, read_statements
+from starloom.sources.lines import line_counts, log_records, parsed, read_statements, rejects
 from starloom.sources.lines import statements as good_lines
 
 from .tables import BASE, NS, XSD, iri, statements, statements_sql, table
@@ -84,6 +84,23 @@ def line_status(spark, sf_dir):
     return line_counts(parsed(_classed_lines(spark, sf_dir))).drop("error_rate")
 
 
+@query(
+    f"""SELECT CASE WHEN NOT ends_with(rtrim(line, ' '), '.') THEN 'no final dot' WHEN trim(line, ' ') = '.' OR NOT starts_with(ltrim(line, ' '), '_:') THEN 'no match of the grammar' ELSE 'blank node' END AS reason, 'warning' AS severity, count(*) AS n
+FROM ({_CLASSED}) WHERE NOT starts_with(line, '<http://ex.org/document/') AND NOT starts_with(line, '#') AND line <> '' GROUP BY 1"""
+)
+def reject_reasons(spark, sf_dir):
+    return rejects(parsed(_classed_lines(spark, sf_dir))).groupBy("reason", "severity").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'urgent' END AS message, CASE WHEN o_orderstatus = 'F' THEN 'failed' END AS error,
+CASE WHEN o_orderstatus = 'F' THEN 'exception' WHEN o_orderpriority = '1-URGENT' THEN 'warning' ELSE 'info' END AS severity FROM orders"""
+)
+def log_severity(spark, sf_dir):
+    urgent, failed = F.when(F.col("o_orderpriority") == "1-URGENT", "urgent"), F.when(F.col("o_orderstatus") == "F", "failed")
+    return log_records(table(spark, sf_dir, "orders"), urgent, failed).select("o_orderkey", "message", "error", "severity")
+
+
 @query("SELECT doc_id, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents")
 def literal_roundtrip(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(statement(iri("document", "doc_id"), NS + "text", F.coalesce("text", F.lit("")), XSD_STRING).alias("s")).select("s.*")
@@ -117,6 +134,36 @@ def render_trix(spark, sf_dir):
     return render(statements(spark, sf_dir, "nation", "region"), "trix-triples", keep=("subject", "predicate"), name="line")
 
 
+def _with_languages(spark, sf_dir) -> DataFrame:
+    """Nations and suppliers in graphs, the names of nations as texts in a language."""
+    df = statements(spark, sf_dir, "nation", "supplier")
+    named = F.col("predicate") == NS + "n_name"
+    return maps.changed(
+        df,
+        datatype=F.when(named, LANG_STRING).otherwise(F.col("datatype")),
+        language=F.when(named, "en"),
+        context=F.concat(F.lit("http://ex.org/graph/"), "dataset"),
+    )
+
+
+_LANGUAGES_SQL = f"SELECT subject, predicate, value, CASE WHEN predicate = '{NS}n_name' THEN '{LANG_STRING}' ELSE datatype END AS datatype, CASE WHEN predicate = '{NS}n_name' THEN 'en' END AS language, 'http://ex.org/graph/' || dataset AS context FROM ({statements_sql('nation', 'supplier')})"
+_TRIX_QUAD = _TRIX.replace("ELSE '      <typed", f"WHEN datatype = '{LANG_STRING}' THEN '      <plainLiteral xml:lang=\"en\">' || value || '</plainLiteral>' ELSE '      <typed")
+_TRIX_QUAD = _TRIX_QUAD.replace("'    <triple>'", "'    <uri>' || context || '</uri>' || chr(10) || '    <triple>'")
+
+
+@query(f"SELECT subject, predicate, {_TRIX_QUAD} AS line FROM ({_LANGUAGES_SQL})")
+def render_trix_quads(spark, sf_dir):
+    return render(_with_languages(spark, sf_dir), "trix-quads", keep=("subject", "predicate"), name="line")
+
+
+_TERSE_QUAD = "'<' || subject || '> <' || predicate || '> ' || CASE WHEN datatype IS NULL THEN '<' || value || '> ' WHEN language IS NOT NULL THEN '\"' || value || '\"@' || language || ' ' WHEN datatype = '{xsd}string' THEN '\"' || value || '\" ' ELSE '\"' || value || '\"^^<' || datatype || '> ' END || '<' || context || '> .'".replace("{xsd}", XSD)
+
+
+@query(f"SELECT subject, predicate, {_TERSE_QUAD} AS line FROM ({_LANGUAGES_SQL})")
+def render_languages(spark, sf_dir):
+    return render(_with_languages(spark, sf_dir), "n-quads", keep=("subject", "predicate"), name="line")
+
+
 _J = lambda x: f"'\"' || replace({x}, '/', '\\/') || '\"'"
 _JSON = f"'{{' || {_J('subject')} || ' : {{ ' || {_J('predicate')} || CASE WHEN datatype IS NULL THEN ' : [ {{ \"value\" : ' || {_J('value')} || ', \"type\" : \"uri\" }} ]' ELSE ': [ {{ \"value\" : ' || {_J('value')} || ', \"type\" : \"literal\", \"datatype\" : ' || {_J('datatype')} || ' }} ] ' END || ' }} }},'"
 
@@ -156,6 +203,11 @@ def object_predicates(spark, sf_dir):
     return statements(spark, sf_dir, "supplier", "part").filter(has_object_predicate()).select("subject", "predicate")
 
 
+@query(f"SELECT subject, predicate, CASE WHEN datatype IS NULL THEN 'iri' ELSE 'literal' END AS kind, value, datatype, language FROM ({_LANGUAGES_SQL})")
+def typed_objects(spark, sf_dir):
+    return _with_languages(spark, sf_dir).select("subject", "predicate", typed_object().alias("o")).select("subject", "predicate", "o.*")
+
+
 @query("""SELECT 'http://ex.org/orders/' || o_orderkey AS subject, 'http://ex.org/ns#placed_by' AS predicate, 'http://ex.org/customer/' || o_custkey AS value FROM orders
 UNION ALL SELECT 'http://ex.org/customer/' || o_custkey, 'http://ex.org/ns#placed', 'http://ex.org/orders/' || o_orderkey FROM orders""")
 def map_statements(spark, sf_dir):
@@ -178,6 +230,26 @@ def map_groups(spark, sf_dir):
     return maps.map_groups(rows, "subject", summary).select("subject", "predicate", "value")
 
 
+@query(
+    """SELECT 'http://ex.org/nation/' || coalesce(n_nationkey, c_nationkey) AS subject, count(DISTINCT c_custkey) || ' of ' || count(DISTINCT s_suppkey) AS value
+FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey WHERE c_custkey IS NOT NULL OR s_suppkey IS NOT NULL GROUP BY coalesce(n_nationkey, c_nationkey)"""
+)
+def map_kway_groups(spark, sf_dir):
+    """A function over the groups of a full merge: customers and suppliers by nation."""
+
+    def links(name: str, key: str) -> DataFrame:
+        df = statements(spark, sf_dir, name).filter(F.col("predicate") == NS + key)
+        return maps.changed(df, subject=F.col("value"), value=F.col("subject"))
+
+    def counted(pdf):
+        n = [int((pdf["_source"] == i).sum()) for i in (0, 1)]
+        first = {c: None for c in FIELDS} | {"subject": pdf["subject"].iloc[0], "predicate": NS + "counts", "value": f"{n[0]} of {n[1]}", "datatype": XSD_STRING}
+        return type(pdf)([first], columns=list(FIELDS))
+
+    rows = merges.merge_all(links("customer", "c_nationkey"), links("supplier", "s_nationkey"))
+    return maps.map_groups(rows, "subject", counted).select("subject", "value")
+
+
 # --- sorts, groups, merges, sets --------------------------------------------------------------
 
 
@@ -435,6 +507,25 @@ def file_nquads_bzip2(spark, sf_dir):
     return _through_file(spark, sf_dir, "n-quads", "nq.bz2", "part", "supplier")
 
 
+@query(f"SELECT subject, predicate, value, datatype FROM ({statements_sql('supplier', 'customer')})")
+def file_append(spark, sf_dir):
+    """Two writes to one compressed file, the second after what the first left."""
+    path = f"{shared_dir(spark)}/starloom-core/{uuid.uuid4().hex}.nt.gz"
+    for name in ("supplier", "customer"):
+        FileSink(path, append=True).write(statements(spark, sf_dir, name))
+    return read_statements(spark, path).select("subject", "predicate", "value", "datatype")
+
+
+@query(f"SELECT format, subject, predicate, value, datatype FROM ({statements_sql('nation', 'supplier')}), (VALUES ('nt'), ('nq')) AS f(format)")
+def sink_group(spark, sf_dir):
+    """The same statements to two sinks, each read back."""
+    at = {k: f"{shared_dir(spark)}/starloom-core/{uuid.uuid4().hex}.{k}.bz2" for k in ("nt", "nq")}
+    sinks = SinkGroup((FileSink(at["nt"], "n-triples"), FileSink(at["nq"], "n-quads")))
+    sinks.write(statements(spark, sf_dir, "nation", "supplier"))
+    read = [read_statements(spark, path).withColumn("format", F.lit(k)) for k, path in at.items()]
+    return read[0].unionByName(read[1]).select("format", "subject", "predicate", "value", "datatype")
+
+
 # --- scalar functions -------------------------------------------------------------------------
 
 

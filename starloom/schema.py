@@ -52,6 +52,22 @@ def has_object_predicate() -> Column:
     return F.col("datatype").isNull() & F.col("language").isNull() & F.try_parse_url(F.col("value"), F.lit("PROTOCOL")).isNotNull()
 
 
+def typed_object() -> Column:
+    """The object as a struct: kind (iri or literal), value, and a literal's datatype and language.
+
+    A literal without a datatype but with a language is a language string; a language that
+    stands at another datatype is none.
+    """
+    literal = F.col("datatype").isNotNull() | F.col("language").isNotNull()
+    datatype = F.when(literal, F.coalesce("datatype", F.lit(LANG_STRING)))
+    return F.struct(
+        F.when(literal, "literal").otherwise("iri").alias("kind"),
+        F.col("value").alias("value"),
+        datatype.alias("datatype"),
+        F.when(datatype == LANG_STRING, F.col("language")).alias("language"),
+    )
+
+
 def conform(df: DataFrame, dataset: str | None = None) -> DataFrame:
     """df with all statement columns, in order, before its other columns; missing ones are null."""
     have = set(df.columns)

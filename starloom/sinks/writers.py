@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -23,14 +24,67 @@ class Sink(Protocol):
     def write(self, df: DataFrame) -> None: ...
 
 
+@dataclass(frozen=True)
+class PartsSink:
+    """A folder of part files."""
+
+    folder: str
+    fmt: str = "n-triples"
+    compression: str = "none"
+    raw: bool = False
+    mode: str = "error"
+
+    def write(self, df: DataFrame) -> None:
+        write_parts(df, self.folder, self.fmt, self.compression, self.raw, self.mode)
+
+
+@dataclass(frozen=True)
+class FileSink:
+    """One file, written anew or appended to."""
+
+    path: str
+    fmt: str = "n-triples"
+    raw: bool = False
+    append: bool = False
+
+    def write(self, df: DataFrame) -> None:
+        write_file(df, self.path, self.fmt, self.raw, append=self.append)
+
+
+@dataclass(frozen=True)
+class FilteredSink:
+    """The statements that meet a condition, to another sink."""
+
+    sink: Sink
+    condition: Column
+
+    def write(self, df: DataFrame) -> None:
+        self.sink.write(df.filter(self.condition))
+
+
+@dataclass(frozen=True)
+class SinkGroup:
+    """Several sinks, one after another; statements are computed once."""
+
+    sinks: tuple[Sink, ...]
+
+    def write(self, df: DataFrame) -> None:
+        kept = materialised(df, "outputs")
+        for sink in self.sinks:
+            sink.write(kept)
+
+
 def write_parts(df: DataFrame, folder: str, fmt: str = "n-triples", compression: str = "none", raw: bool = False, mode: str = "error") -> None:
     """A folder of part files, one for each partition, in order."""
     render(df, fmt, raw).write.mode(mode).option("compression", compression).text(folder)
 
 
-def write_file(df: DataFrame, path: str, fmt: str = "n-triples", raw: bool = False, head: str | None = None, foot: str | None = None) -> None:
+def write_file(df: DataFrame, path: str, fmt: str = "n-triples", raw: bool = False, head: str | None = None, foot: str | None = None, append: bool = False) -> None:
     """One file, with header and footer; the codec follows the name.
 
+    append: after what the file holds, if it is there; for formats of lines, as the header and
+    footer of each part stay where they are.
+
     Parts are rendered and compressed by all tasks, then joined by bytes in their order:
     members of gzip and bzip2 files read as one.
     """
@@ -46,7 +100,12 @@ def write_file(df: DataFrame, path: str, fmt: str = "n-triples", raw: bool = Fal
 
     try:
         write_parts(df, f"{temp}/body", fmt, kind, raw)
-        paths.concatenate(spark, [*line(top, "head"), *_parts(df, f"{temp}/body"), *line(end, "foot")], path)
+        parts = [*line(top, "head"), *_parts(df, f"{temp}/body"), *line(end, "foot")]
+        if append and paths.exists(spark, path):
+            paths.concatenate(spark, [path, *parts], f"{temp}/joined")
+            paths.replace(spark, f"{temp}/joined", path)
+        else:
+            paths.concatenate(spark, parts, path)
     finally:
         paths.delete(spark, temp)
 
@@ -60,17 +119,14 @@ def write_all(df: DataFrame, base_dir: str, datasets: Iterable[str], formats: Ma
 
     One dataset takes all statements, several take those of their name each. Returns the paths.
     """
-    kept = materialised(df.filter(condition(**constraints)), "outputs")
-    names, out = list(datasets), []
+    names, sinks, out = list(datasets), [], []
     for name in names:
-        own = kept.filter(F.col("dataset") == name) if len(names) > 1 else kept
         for suffix, fmt in formats.items():
             path = f"{base_dir.rstrip('/')}/{paths.output_name(name, suffix)}"
-            if single:
-                write_file(own, path, fmt)
-            else:
-                write_parts(own, path, fmt, paths.codec(suffix))
+            sink = FileSink(path, fmt) if single else PartsSink(path, fmt, paths.codec(suffix))
             out.append(path)
+            sinks.append(FilteredSink(sink, F.col("dataset") == name) if len(names) > 1 else sink)
+    SinkGroup(tuple(sinks)).write(df.filter(condition(**constraints)))
     return out
 
 

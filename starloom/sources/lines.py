@@ -77,12 +77,23 @@ def statements(classified: DataFrame) -> DataFrame:
     return classified.filter(F.col("line_class") == STATEMENT_LINE).drop("line", "line_class")
 
 
+def severity(message: Column, error: Column) -> Column:
+    """exception with an error, warning with a message alone, info with neither."""
+    return F.when(error.isNotNull(), "exception").when(message.isNotNull(), "warning").otherwise("info")
+
+
+def log_records(df: DataFrame, message: Column, error: Column | None = None) -> DataFrame:
+    """df with its rows' message, error (null unless given) and severity."""
+    error = F.lit(None).cast("string") if error is None else error
+    return df.withColumns({"message": message, "error": error}).withColumn("severity", severity(F.col("message"), F.col("error")))
+
+
 def rejects(classified: DataFrame) -> DataFrame:
     """The lines that are neither statement, comment nor empty, with a reason and severity."""
     body = F.col("line")
     reason = F.when(F.trim(body) == "", "white space only").when(~F.rtrim(body).endswith("."), "no final dot").when(F.startswith(F.ltrim(body), F.lit("_:")), "blank node").otherwise("no match of the grammar")
     origin = [c for c in ORIGIN if c in classified.columns]
-    return classified.filter(F.col("line_class") == REJECT).select("line", reason.alias("reason"), F.lit("warning").alias("severity"), *origin)
+    return classified.filter(F.col("line_class") == REJECT).select("line", reason.alias("reason"), severity(reason, F.lit(None)).alias("severity"), *origin)
 
 
 def comments(classified: DataFrame) -> DataFrame:

@@ -79,5 +79,13 @@ def concatenate(spark: SparkSession, parts: list[str], target: str) -> None:
         stream.close()
 
 
+def replace(spark: SparkSession, source: str, target: str) -> None:
+    """Renames source to target, of one file system, in place of what may be there."""
+    fs, out = _fs(spark, target)
+    fs.delete(out, False)
+    if not fs.rename(_fs(spark, source)[1], out):
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
 def copy(spark: SparkSession, source: str, target: str) -> None:
     concatenate(spark, [source], target)
