@@ -7,12 +7,15 @@ From every sentence a span runs on to the first sentence that gives it at least
 sentences and WORDS words. What stands around a passage moves cuts in its first and last
 CUT - 1 words only, or leaves up to LONG words of a sentence at its edge uncut; so a common
 passage of 51 words, wherever it begins and ends, holds a whole common span: one begins in
-its first 16 words, and ends within LONG + WORDS words. Spans are compared by a 64-bit hash of their words (ASCII case
-and all punctuation aside) over the whole corpus: the first occurrence, by doc_id and then
-by position, stays; the sentences that any other occurrence covers are removed.
+its first 16 words, and ends within LONG + WORDS words. Spans are compared by two hashes of
+their words, of 64 and 32 bits (ASCII case and all punctuation aside), over the whole corpus:
+the first occurrence, by doc_id and then by position, stays; the sentences that any other
+occurrence covers are removed.
 
-The corpus is read twice: for the spans' hashes, and to cut the texts. Which hashes occur
-more than once is a count combined before its shuffle; only spans with such hashes go on.
+The corpus is read twice: for the spans' hashes, and to cut the texts. Which of the longer
+hashes occur more than once is a count combined before its shuffle; only spans with such
+hashes go on, and both hashes decide among them. Of the tables written on the way only the
+list of spans to remove is left.
 
 Defined results: a null text stays null and counts as empty; a text without a whole span
 loses nothing; a null doc_id comes last; rows equal in doc_id and text are one document
@@ -38,7 +41,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STOP = np.zeros(256, bool)
 _STOP[[*b".!?;\n\r"]] = True
-_MULTIPLIER = 0xBEA225F9EB34556D
+_MULTIPLIER, _OTHER = 0xBEA225F9EB34556D, 0xD6E8FEB86659FD93
 
 
 class Sentences(NamedTuple):
@@ -90,8 +93,8 @@ def sentences(col: pa.Array) -> Sentences:
     return Sentences(begin, end, word, own, h, buf, offsets)
 
 
-def spans(s: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first and last sentence (as places in s) of each span."""
+def spans(s: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes, first and last sentence (as places in s) of each span."""
     n = len(s.word)
     bounds = np.append(s.word, len(s.hashes))
     at = np.arange(n)
@@ -101,7 +104,9 @@ def spans(s: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     same = s.row[at] == s.row[last]
     at, last = at[same], last[same]
     a, b = s.word[at], bounds[last + 1]
-    return textops.splitmix(textops.range_hashes(s.hashes, _MULTIPLIER, a, b) + (b - a).astype(np.uint64)), at, last
+    size = (b - a).astype(np.uint64)
+    one, other = (textops.splitmix(textops.range_hashes(s.hashes, m, a, b) + size) for m in (_MULTIPLIER, _OTHER))
+    return one, (other >> np.uint64(32)).astype(np.uint32), at, last
 
 
 def _text_key() -> Column:
@@ -109,30 +114,41 @@ def _text_key() -> Column:
 
 
 def span_rows(docs: DataFrame) -> DataFrame:
-    """h, doc_id, t (a hash of the text), s and e (first and last sentence) of every span."""
+    """h and g (its hashes), doc_id, t (a hash of the text), s and e (first and last sentence) of every span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = textops.strings(batch, "text")
             for a, b in textops.slices(texts):
                 s = sentences(texts[a:b])
-                h, at, last = spans(s)
+                h, g, at, last = spans(s)
                 row = s.row[at]
                 base = np.searchsorted(s.row, row)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0)[a:b].take(pa.array(row)), batch.column(1)[a:b].take(pa.array(row)), pa.array((at - base).astype(np.int32)), pa.array((last - base).astype(np.int32))], names=["h", "doc_id", "t", "s", "e"])
+                of = pa.array(row)
+                yield pa.RecordBatch.from_pydict({
+                    "h": pa.array(h.view(np.int64)),
+                    "g": pa.array(g.view(np.int32)),
+                    "doc_id": batch.column(0)[a:b].take(of),
+                    "t": batch.column(1)[a:b].take(of),
+                    "s": pa.array((at - base).astype(np.int32)),
+                    "e": pa.array((last - base).astype(np.int32)),
+                })
 
-    return store.mapped(docs.select("doc_id", _text_key().alias("t"), "text"), run, "h long, doc_id long, t long, s int, e int")
+    return store.mapped(docs.select("doc_id", _text_key().alias("t"), "text"), run, "h long, g int, doc_id long, t long, s int, e int")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, t and the (s, e) of the spans to remove, for each document that has any."""
-    every = store.written(span_rows(docs), "spans")
-    often = store.written(every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "repeated")
-    found = store.written(every.join(often, "h"), "found")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t", "s")
-    first = store.written(found.groupBy("h").agg(F.min(place).alias("f")), "first")
-    later = found.join(first, "h").filter(~place.eqNullSafe(F.col("f")))
-    return later.groupBy("doc_id", "t").agg(F.collect_set(F.struct("s", "e")).alias("cuts"))  # at most a document's sentences
+    with store.scratch():
+        every = store.written(span_rows(docs), "spans")
+        often = store.written(every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "repeated")
+        found = store.written(every.join(often, "h"), "found")
+        first = store.written(found.groupBy("h", "g").agg(F.min(place).alias("f")), "first")
+        later = found.join(first, ["h", "g"]).filter(~place.eqNullSafe(F.col("f")))
+        # at most a document's sentences in a row
+        cuts = later.groupBy("doc_id", "t").agg(F.collect_set(F.struct("s", "e")).alias("cuts"))
+        return store.written(cuts, "cuts", keep=True)
 
 
 def cut(s: Sentences, i: int, drop: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:

@@ -76,6 +76,26 @@ def test_passages_of_51_words_at_any_place(most):
         assert common_spans(*(" ".join(t[:i] + passage + t[i:]) for t, i in ((texts[1], x), (texts[2], y))))
 
 
+def test_spans_of_one_hash_but_other_words_stay(make_docs, monkeypatch):
+    whole = spans.spans
+
+    def few(s):
+        h, *rest = whole(s)
+        return h % 3, *rest
+
+    texts = corpus()
+    monkeypatch.setattr(spans, "spans", few)
+    got = {r["doc_id"]: r["text"] for r in spans.removed(make_docs(texts)).collect()}
+    assert [[s.strip() for s in got[i].split(".") if s.strip()] for i in range(len(texts))] == brute(texts)
+
+
+def test_tables_on_the_way_are_removed(spark, make_docs, monkeypatch):
+    gone = []
+    monkeypatch.setattr(spans.store, "removed", lambda *frames: gone.extend(frames))
+    spans.repeated(make_docs(corpus())).collect()
+    assert len(gone) == 4
+
+
 def test_edges(spark, make_docs):
     docs = make_docs([None, "", "Short. Text."])
     assert {r["doc_id"]: r["text"] for r in spans.removed(docs).collect()} == {0: None, 1: "", 2: "Short. Text."}
