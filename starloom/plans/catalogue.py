@@ -413,14 +413,18 @@ def _suppliers(spark, sf_dir, condition: str = "true", suffix: str = "") -> Data
     return table(spark, sf_dir, "supplier").filter(condition).select(F.col("s_suppkey").cast("string").alias("id"), F.concat("s_name", F.lit(suffix)).alias("name"))
 
 
-@query("SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name || CASE WHEN s_suppkey % 4 = 0 THEN ' new' ELSE '' END AS name FROM supplier")
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name FROM supplier WHERE s_acctbal >= 5000
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_name || ' new' FROM supplier WHERE s_acctbal < 5000""")
 def upsert_docs(spark, sf_dir):
-    return documents.upsert(_suppliers(spark, sf_dir, "s_suppkey % 8 <> 4"), _suppliers(spark, sf_dir, "s_suppkey % 4 = 0", " new"))
+    """Suppliers of a balance of 2500 or more are stored; those of less than 5000 come anew, some of them for the first time."""
+    stored = _suppliers(spark, sf_dir, "s_acctbal >= 2500")
+    return documents.upsert(stored, _suppliers(spark, sf_dir, "s_acctbal < 5000", " new"))
 
 
-@query("SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name FROM supplier WHERE s_suppkey % 4 <> 0 AND NOT contains(s_name, '7')")
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name FROM supplier WHERE s_acctbal >= 0 AND NOT contains(s_name, '7')")
 def delete_docs(spark, sf_dir):
-    docs = documents.delete_ids(_suppliers(spark, sf_dir), _suppliers(spark, sf_dir, "s_suppkey % 4 = 0").select("id"))
+    """Suppliers without debt whose name holds no 7."""
+    docs = documents.delete_ids(_suppliers(spark, sf_dir), _suppliers(spark, sf_dir, "s_acctbal < 0").select("id"))
     return documents.delete_where(docs, F.contains("name", F.lit("7")))
 
 
