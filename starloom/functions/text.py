@@ -237,12 +237,20 @@ def encode_component(x: Column | str) -> Column:
 # --- times and numbers ------------------------------------------------------------------------
 
 
+def _whole(x: Column, by: int) -> Column:
+    return F.call_function("div", x, F.lit(by))
+
+
 def format_timestamp(ms: Column | str) -> Column:
-    """UTC, to the second; '' before 1970."""
-    ms = _col(ms)
-    days, rest = F.floor(ms / 86_400_000).cast("int"), F.pmod(F.floor(ms / 1000), F.lit(86_400)).cast("int")
-    clock = F.format_string("T%02d:%02d:%02dZ", (rest / 3600).cast("int"), (F.pmod(rest, F.lit(3600)) / 60).cast("int"), F.pmod(rest, F.lit(60)))
-    return F.when(ms < 0, "").otherwise(F.concat(F.date_format(F.date_from_unix_date(days), "yyyy-MM-dd"), clock))
+    """UTC, to the second, years of as many digits as they have and no sign; '' before 1970."""
+    ms = _col(ms).cast("long")
+    seconds = _whole(ms, 1000)
+    days, rest = _whole(seconds, 86_400), (seconds % 86_400).cast("int")
+    # the calendar repeats after 400 years; dates of the first ones are enough for any number
+    day = F.date_from_unix_date((days % 146_097).cast("int"))
+    year = F.year(day) + _whole(days, 146_097) * 400
+    clock = F.format_string("T%02d:%02d:%02dZ", _whole(rest, 3600), _whole(rest % 3600, 60), rest % 60)
+    return F.when(ms < 0, "").otherwise(F.concat(year.cast("string"), F.date_format(day, "-MM-dd"), clock))
 
 
 def parse_timestamp(x: Column | str) -> Column:

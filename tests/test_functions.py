@@ -91,6 +91,12 @@ def test_numbers_times_and_prefixes(spark):
     assert tuple(row) == ("00FF", "F", "FFFFFFFF", "1970-01-01T00:00:00Z", "", "01:01.001s", "100:00.000s", "http://x/Boston", "", "ab", "a😀", "c", None, True)
 
 
+def test_timestamps_of_far_years(spark):
+    given = [253_402_300_799_999, 253_402_300_800_000, 518_394_101_999_999, (1 << 63) - 1, None]
+    row = spark.range(1).select(*(tx.format_timestamp(F.lit(ms).cast("long")) for ms in given)).first()
+    assert tuple(row) == ("9999-12-31T23:59:59Z", "10000-01-01T00:00:00Z", "18397-04-03T17:39:59Z", "292278994-08-17T07:12:55Z", None)
+
+
 def test_nulls(spark):
     row = spark.range(1).select(*(f(F.lit(None).cast("string")).cast("string") for f, _, _ in CASES if f not in ())).first()
     assert all(v in (None, "-1", "") for v in row)
