@@ -8,8 +8,9 @@ group forms put each key's rows in one array, for those who need them together.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starloom.schema import FIELDS, ORIGIN, Target, key_name
 
@@ -37,10 +38,23 @@ def merge_lead(lead: DataFrame, *others: DataFrame, target: Target | str = Targe
     """
     key = key_name(target)
     keys = lead.select(F.col(key).alias("__key")).distinct()
-    met = [df.join(keys, F.col(key).eqNullSafe(F.col("__key")), "left_semi") for df in others]
+    met = [df.join(keys, _same_key(df, key, keys), "left_semi") for df in others]
     return tagged(lead, *met)
 
 
+def _same_key(df: DataFrame, key: str, keys: DataFrame) -> Column:
+    """Whether df's key is __key, null like others.
+
+    Strings are met by a hash and then compared: IRIs begin alike, so a sort by them compares
+    whole texts, while one by a number needs none. Two bounds say that texts are equal, as Spark
+    would take an equation for a second key to sort by.
+    """
+    a, b = F.col(key), F.col("__key")
+    if not df.schema[key].dataType == keys.schema["__key"].dataType == T.StringType():
+        return a.eqNullSafe(b)
+    return (F.xxhash64(a) == F.xxhash64(b)) & F.coalesce((a <= b) & (a >= b), a.isNull() & b.isNull())
+
+
 def grouped(rows: DataFrame, target: Target | str = Target.SUBJECT, lead_only: bool = False) -> DataFrame:
     """One row for each key of tagged rows: the key, `n`, and `statements` in the order of source and origin.
 

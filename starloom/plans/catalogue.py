@@ -322,7 +322,8 @@ def bucket_statistics(spark, sf_dir):
 def _order_sources(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Orders, the statements of their lines under the orders' subjects, and customers, whose subjects orders have not."""
     lines = statements(spark, sf_dir, "lineitem")
-    lines = maps.changed(lines, subject=F.concat(F.lit(f"{BASE}/orders/"), F.element_at(F.split("subject", "/"), -2)))
+    order = F.substring_index(F.substring("subject", len(f"{BASE}/lineitem/") + 1, 1 << 30), "/", 1)
+    lines = maps.changed(lines, subject=F.concat(F.lit(f"{BASE}/orders/"), order))
     return statements(spark, sf_dir, "orders"), lines, statements(spark, sf_dir, "customer")
 
 

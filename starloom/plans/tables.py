@@ -6,6 +6,8 @@ an IRI and anything else a typed literal. Null values give no statement.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,20 +41,25 @@ def iri(name: str, *keys: str | Column) -> Column:
 
 
 def statements(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
-    """The statements of the tables, with the table's name as dataset."""
+    """The statements of the tables, with the table's name as dataset.
+
+    A row is multiplied by the numbers of its columns that are not null; predicates and values
+    follow from the number, so that what a plan does not ask for is never made.
+    """
     out = None
     for name in names:
         keys, cols = TABLES[name]
-        made = []
-        for c, kind in cols.items():
-            x = F.col(c)
-            value = iri(kind[4:], x) if kind.startswith("iri:") else (x.cast("decimal(18,2)") if kind == "decimal" else x).cast("string")
-            value = F.when(x.isNotNull(), value)
-            datatype = F.lit(None) if kind.startswith("iri:") else F.lit(XSD + kind)
-            made.append(F.struct(F.lit(NS + c).alias("predicate"), value.alias("value"), datatype.cast("string").alias("datatype")))
-        one = table(spark, sf_dir, name).select(iri(name, *keys).alias("subject"), F.explode(F.array(*made)).alias("s"))
-        one = one.select(F.lit(name).alias("dataset"), "subject", "s.*").filter("value IS NOT NULL")
-        one = one.select(*(F.col(c) if c in one.columns else F.lit(None).cast("string").alias(c) for c in FIELDS))
+        present = [F.when(F.col(c).isNotNull(), F.lit(i)) for i, c in enumerate(cols)]
+        rows = table(spark, sf_dir, name).select(iri(name, *keys).alias("subject"), *cols)
+        rows = rows.select("subject", *cols, F.explode(F.array(*present)).alias("_i")).filter("_i IS NOT NULL")
+
+        def chosen(parts: list[Column]) -> Column:
+            return reduce(lambda c, p: c.when(F.col("_i") == p[0], p[1]), enumerate(parts[1:], 1), F.when(F.col("_i") == 0, parts[0]))
+
+        values = [iri(kind[4:], c) if kind.startswith("iri:") else (F.col(c).cast("decimal(18,2)") if kind == "decimal" else F.col(c)).cast("string") for c, kind in cols.items()]
+        datatypes = [F.lit(None if kind.startswith("iri:") else XSD + kind).cast("string") for kind in cols.values()]
+        fields = {"dataset": F.lit(name), "subject": F.col("subject"), "predicate": chosen([F.lit(NS + c) for c in cols]), "value": chosen(values), "datatype": chosen(datatypes)}
+        one = rows.select(*(fields.get(c, F.lit(None).cast("string")).alias(c) for c in FIELDS))
         out = one if out is None else out.unionByName(one)
     return out
 

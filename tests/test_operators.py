@@ -1,9 +1,11 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from starloom.operators import documents, filters, groups, maps, merges, search, sets, sorts, star
+from starloom.plans import tables
 from starloom.schema import FIELDS, STATEMENT, XSD_STRING, conform, statement
 
 
@@ -153,3 +155,24 @@ def test_lookup_with_repeated_rows(spark):
     assert got.columns == ["start", "ids", "documents"]
     rows = sorted(((r["start"] or 0), None if r["documents"] is None else [d["n"] for d in r["documents"]]) for r in got.collect())
     assert rows == [(0, [2]), (1, [1, 2]), (1, [1, 2]), (2, None), (3, None)]
+
+
+def test_merge_lead_sorts_by_a_number(spark):
+    """Sides are sorted by one number, not by texts that begin alike; null, doubled and foreign keys as before."""
+    lead = spark.createDataFrame([("http://x/1",), (None,), ("http://x/1",), ("",)], "subject string")
+    other = spark.createDataFrame([("http://x/1", 1), (None, 2), ("http://x/2", 3), ("", 4), ("http://x/1", 5), (None, 6)], "subject string, n int")
+    given = [(lead, other), (lead.filter("subject IS NOT NULL").fillna("-"), other.fillna("-"))]
+    for (a, b), want in zip(given, ([1, 2, 4, 5, 6], [1, 4, 5])):
+        out = merges.merge_lead(a, b.hint("merge"))
+        keys = re.findall(r"SortMergeJoin \[(.*?)\], \[", out._jdf.queryExecution().executedPlan().toString())
+        assert len(keys) == 1 and re.fullmatch(r"xxhash64\([^,]*, 42\)", keys[0])
+        assert sorted(r["n"] for r in out.filter("_source = 1").collect()) == want
+    numbers = merges.merge_lead(spark.range(3).withColumnRenamed("id", "subject"), spark.createDataFrame([(1,), (7,)], "subject int"))
+    assert sorted(r["subject"] for r in numbers.filter("_source = 1").collect()) == [1]
+
+
+def test_statements_make_what_is_asked(spark):
+    """Counting statements makes no values."""
+    made = tables.statements(spark, "/root/testdata/sf0.001", "lineitem")
+    plan = made.groupBy("subject").count()._jdf.queryExecution().executedPlan().toString()
+    assert "returnflag" in plan and "decimal(18,2)" not in plan and "ns#l_quantity" not in plan
