@@ -1,8 +1,7 @@
 """String, number and time functions as Spark columns.
 
-Everything that SQL can say is SQL; pandas functions remain for escapes by code point, and
-they get nulls for the rows that have nothing to escape, so that those never leave the JVM
-as text.
+Everything that SQL can say is SQL; but for replace_by, whose function is the caller's, no
+text leaves the JVM.
 """
 
 from __future__ import annotations
@@ -39,6 +38,11 @@ def _only_where(pattern: str, x: Column, change: Callable[[Column], Column]) ->
     return F.when(x.rlike(pattern), change(x)).otherwise(x)
 
 
+def _once(x: Column, make: Callable[[Column], Column]) -> Column:
+    """make(x), where x is computed once however often it is used."""
+    return F.get(F.transform(F.array(x), make), F.lit(0))
+
+
 def _regex_class(chars: str) -> str:
     return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]"
 
@@ -46,17 +50,31 @@ def _regex_class(chars: str) -> str:
 # --- Turtle / N-Triples escapes -------------------------------------------------------------
 
 _SHORT = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]
-_UNSHORT = {'"': '"', "t": "\t", "r": "\r", "\\": "\\", "n": "\n"}
+_BEYOND_ASCII = "[^ -~]"
+_HEX4 = "[0-9a-fA-F]{4}"
+_NO_SURROGATE = "(?![dD][89a-fA-F])"
+#: What unescapes. Possessive quantifiers keep the matcher iterative, here and below.
+_ESCAPED = rf"""(?s)\A(?:[^\\]++|\\(?:["trn\\]|u{_NO_SURROGATE}{_HEX4}|U(?:0000{_NO_SURROGATE}|000[1-9a-fA-F]|0010){_HEX4}))*+\z"""
+
+
+def _in_pieces(x: Column, some: str, piece: str, change: Callable[[Column], Column]) -> Column:
+    """Each match of `piece` changed. Matches of `some`, a bounded number of pieces, are done one
+    after the other, so that a long text is never in memory as pieces. Every character is in a match of both."""
+
+    def changed(part: Column) -> Column:
+        return F.array_join(F.transform(F.regexp_extract_all(part, F.lit(piece), F.lit(0)), change), "")
 
+    return F.array_join(F.transform(F.regexp_extract_all(x, F.lit(some), F.lit(0)), changed), "")
 
-def _hex_escape(m: re.Match) -> str:
-    code = ord(m[0])
-    return f"\\u{code:04X}" if code <= 0xFFFF else f"\\U{code:08X}"
 
+def _escape_beyond_ascii(x: Column) -> Column:
+    def escaped(run: Column) -> Column:
+        short = F.regexp_replace(F.hex(F.encode(run, "UTF-16BE")), "(.{4})", r"\\u$1")
+        long = F.regexp_replace(F.hex(F.encode(run, "UTF-32")), "(.{8})", r"\\U$1")
+        return F.when((run >= " ") & (run < "\x7f"), run).when(run < "\U00010000", short).otherwise(long)
 
-@F.pandas_udf(T.StringType())
-def _escape_beyond_ascii(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: re.sub(r"[^ -~]", _hex_escape, x), na_action="ignore")
+    wide = r"\x{10000}-\x{10FFFF}"
+    return _in_pieces(x, "(?s).{1,4096}+", f"[ -~]++|[{wide}]++|[^ -~{wide}]++", escaped)
 
 
 def escape_short(x: Column | str) -> Column:
@@ -69,7 +87,7 @@ def escape_numeric(x: Column | str, turtle: bool = True) -> Column:
     x = _col(x)
     if turtle:
         return _only_where(_regex_class("".join(_HEX_ESCAPED)), x, lambda c: replaced(c, [(k, f"\\u{ord(k):04X}") for k in _HEX_ESCAPED]))
-    return F.coalesce(_escape_beyond_ascii(F.when(x.rlike("[^ -~]"), x)), x)
+    return _once(x, lambda c: _only_where(_BEYOND_ASCII, c, _escape_beyond_ascii))
 
 
 def escape_turtle(x: Column | str, turtle: bool = True) -> Column:
@@ -77,34 +95,21 @@ def escape_turtle(x: Column | str, turtle: bool = True) -> Column:
     return escape_numeric(escape_short(x), turtle)
 
 
-def _unescape(x: str) -> str | None:
-    bad = False
+def _unescape(x: Column) -> Column:
+    def plain(run: Column) -> Column:
+        short = F.decode(F.unhex(F.replace(run, F.lit("\\u"), F.lit(""))), "UTF-16BE")
+        # a byte order mark goes first, as the decoder takes one away
+        long = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.replace(run, F.lit("\\U"), F.lit("")))), "UTF-32")
+        single = F.translate(F.substring(run, 2, 1), "trn", "\t\r\n")
+        return F.when(~F.startswith(run, F.lit("\\")), run).when(F.startswith(run, F.lit("\\u")), short).when(F.startswith(run, F.lit("\\U")), long).otherwise(single)
 
-    def one(m: re.Match) -> str:
-        nonlocal bad
-        if m[1]:
-            code = int(m[1][1:], 16)
-            if code <= 0x10FFFF and not 0xD800 <= code < 0xE000:
-                return chr(code)
-        elif m[2] in _UNSHORT:
-            return _UNSHORT[m[2]]
-        bad = True
-        return ""
-
-    got = re.sub(r"\\(?:(u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8})|(.?))", one, x, flags=re.S)
-    return None if bad else got
-
-
-@F.pandas_udf(T.StringType())
-def _unescape_all(s: pd.Series) -> pd.Series:
-    return s.map(_unescape, na_action="ignore")
+    escape = rf"\\(?:u{_HEX4}|U.{{8}}|.)"
+    return _in_pieces(x, rf"(?s)(?:[^\\]{{1,4096}}+|{escape}){{1,256}}+", rf"(?s)[^\\]++|(?:\\u{_HEX4})++|(?:\\U.{{8}})++|\\.", plain)
 
 
 def unescape_turtle(x: Column | str) -> Column:
     """The inverse of escape_turtle; null where an escape is unknown or cut short, or no character."""
-    x = _col(x)
-    has = F.contains(x, F.lit("\\"))
-    return F.when(has, _unescape_all(F.when(has, x))).otherwise(x)
+    return _once(_col(x), lambda c: F.when(~F.contains(c, F.lit("\\")), c).when(c.rlike(_ESCAPED), _unescape(c)))
 
 
 # --- XML and JSON ---------------------------------------------------------------------------

@@ -97,6 +97,20 @@ def test_timestamps_of_far_years(spark):
     assert tuple(row) == ("9999-12-31T23:59:59Z", "10000-01-01T00:00:00Z", "18397-04-03T17:39:59Z", "292278994-08-17T07:12:55Z", None)
 
 
+def test_escapes_stay_in_the_jvm(spark):
+    """No Python worker holds texts; pieces and what lies between them come back as they were."""
+    texts = ["", "\\", "\ufeff\u4e2d\U0001f600\U0010ffff\x85\x00 ~", "é" * 5000 + "a" * 5000 + "é", "😀a" * 5000, '\\"' * 3000, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    escaped = tx.escape_turtle("t", turtle=False)
+    out = df.select("t", escaped.alias("e"), tx.unescape_turtle(escaped).alias("back"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.collect()
+    assert [r["back"] for r in got] == texts and all(r["e"] is None or r["e"].isascii() for r in got)
+    assert got[2]["e"] == "\\uFEFF\\u4E2D\\U0001F600\\U0010FFFF\\u0085\\u0000 ~"
+    bad = spark.createDataFrame([("ok\\t" * 99 + x,) for x in ("\\uD83D", "\\U0000dfff", "\\U00110000", "\\U0001", "\\\n", "\\")], "t string")
+    assert [r[0] for r in bad.select(tx.unescape_turtle("t")).collect()] == [None] * 6
+
+
 def test_nulls(spark):
     row = spark.range(1).select(*(f(F.lit(None).cast("string")).cast("string") for f, _, _ in CASES if f not in ())).first()
     assert all(v in (None, "-1", "") for v in row)
